@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, pii, secrets, tokens
+from . import licences, media, mixing, pii, secrets, tokens
 from ._frames import read_table
 
 
@@ -32,11 +32,24 @@ def op4_zstd_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op6_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op8_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(licences.document_path(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op2_weak_supervision": op2_weak_supervision,
     "op3_bpe_heap": op3_bpe_heap,
     "op4_zstd_novelty": op4_zstd_novelty,
+    "op6_multinomial_mix": op6_multinomial_mix,
+    "op8_licence_tfidf": op8_licence_tfidf,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_multinomial_mix": mixing.mix_sql(),
+    "op8_licence_tfidf": licences.scan_sql(),
+}
