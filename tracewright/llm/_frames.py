@@ -8,17 +8,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.session import ship
+
 #: Rows of output are handed to the JVM in pieces of about this many bytes.
 BATCH_BYTES = 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir`` (any path Spark can read)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns, ``doc_id`` and ``text``; whatever else the input has is left behind."""
+    ship(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -75,5 +79,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, with its lineage cut."""
+    ship(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

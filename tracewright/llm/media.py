@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.session import ship
+
 from ._frames import BATCH_BYTES, id_and_text, map_documents, to_batch
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by index, Hz by index, samples per frame.
@@ -268,6 +270,7 @@ PROBE = (
 
 def probe(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", length_col: str | None = None) -> DataFrame:
     """One row per media value: digests of it and of its main data, exact duration, tags, tables, checksums, frame offsets."""
+    ship(df.sparkSession)
     length = F.col(length_col) if length_col else F.lit(None)
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), length.cast("long").alias("n_bytes"), F.col(media_col).cast("binary").alias("media"))
     arrow = pa.schema(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, media, mixing, pii, secrets, tokens
+from . import licences, media, mixing, pii, quality, secrets, tokens
 from ._frames import read_table
 
 
@@ -40,6 +40,10 @@ def op8_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(licences.document_path(read_table(spark, sf_dir, "documents")))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op2_weak_supervision": op2_weak_supervision,
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_zstd_novelty": op4_zstd_novelty,
     "op6_multinomial_mix": op6_multinomial_mix,
     "op8_licence_tfidf": op8_licence_tfidf,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 ORACLE_SQL: dict[str, str] = {
