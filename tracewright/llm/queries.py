@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, media, mixing, pii, quality, secrets, tokens
+from . import decontaminate, jaccard, licences, lines, media, mixing, pii, quality, secrets, tokens
 from ._frames import read_table
 
 
@@ -32,14 +32,26 @@ def op4_zstd_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.forest_join(read_table(spark, sf_dir, "documents"))
+
+
 def op6_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op7_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.duplicate_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op8_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(licences.document_path(read_table(spark, sf_dir, "documents")))
 
 
+def op9_pigeonhole_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -49,8 +61,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_weak_supervision": op2_weak_supervision,
     "op3_bpe_heap": op3_bpe_heap,
     "op4_zstd_novelty": op4_zstd_novelty,
+    "op5_minhash_forest": op5_minhash_forest,
     "op6_multinomial_mix": op6_multinomial_mix,
+    "op7_segment_join": op7_segment_join,
     "op8_licence_tfidf": op8_licence_tfidf,
+    "op9_pigeonhole_leaks": op9_pigeonhole_leaks,
     "op10_kneser_ney": op10_kneser_ney,
 }
 
