@@ -37,3 +37,12 @@ def ship(spark: SparkSession) -> None:
             out.write(path, str(path.relative_to(package.parent)))
     context.addPyFile(archive)
     context._tracewright_shipped = True
+
+
+def checkpointed(df):
+    """``df`` written to the folder of spark.checkpoint.dir, with its lineage cut; a folder for tests is set where the session has none."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
