@@ -1,6 +1,6 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-Documents are sets of five-word shingles.  Equal sets are one item, however many documents have it.  Each item's
+Documents are sets of five-word shingles.  Equal texts are one item, however many documents have it.  Each item's
 MinHash signature is cut into trees; a tree's sorted signatures are a prefix trie, whose nodes are the buckets.  Matched
 prefixes are shortened from the full depth until the expected recall at the threshold, 1 - (1 - s^depth)^trees, reaches
 its target: every node of that depth is searched, and with it all deeper ones.  Candidates are verified exactly
@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ from ._frames import BATCH_BYTES, checkpointed, id_and_text
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 32, 8, 0.99999
+TREES, DEPTH, RECALL = 63, 12, 0.99999
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a task remembers.
 REMEMBERED = 400_000
@@ -70,41 +69,37 @@ def shingles(text: str | None, words: _Words) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def item_id(found: np.ndarray) -> int:
-    """The number of a set of shingles, below 2^63."""
-    return xxhash.xxh3_64_intdigest(found.tobytes()) >> 1
-
-
 def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    numbers = _mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * GOLDEN)
-    return numbers[:n] | np.uint64(1), numbers[n:]
+    numbers = (_mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * GOLDEN) >> np.uint64(16)).astype(np.uint32)
+    return numbers[:n] | np.uint32(1), numbers[n:]
 
 
 def prefix_keys(found: np.ndarray, trees: int, depth: int, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """One key a tree: the first ``depth`` values of its part of the signature."""
     odd, mask = factors
-    least = np.full(trees * depth, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for start in range(0, found.size, 2048):
-        part = found[start : start + 2048]
+    least = np.full(trees * depth, 0xFFFFFFFF, dtype=np.uint32)
+    narrow = found.astype(np.uint32)
+    for start in range(0, narrow.size, 512):
+        part = narrow[start : start + 512]
         np.minimum(least, ((part[:, None] ^ mask) * odd).min(axis=0), out=least)
-    least = least.reshape(trees, depth)
+    least = least.reshape(trees, depth).astype(np.uint64)
     key = np.arange(1, trees + 1, dtype=np.uint64)
     for k in range(depth):
         key = _mix(key * GOLDEN + least[:, k])
     return key
 
 
-def _items(batch, words):
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        text = text.as_py()
-        found = shingles(text, words)
-        yield doc_id, text, found, item_id(found) if found.size else None
+def items(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, item, text): equal texts are one item, a number below 2^63; texts without a word are none."""
+    item = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.shiftrightunsigned(F.xxhash64("text"), 1))
+    return id_and_text(df, id_col, text_col).select("doc_id", item.alias("item"), "text")
 
 
 def forest_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links): each document's class, and the verified links that its shingle set has."""
+    """(doc_id, class_id, n_links): each document's class, and the verified links that its text has."""
     ship(df.sparkSession)
-    docs = id_and_text(df, id_col, text_col)
+    named = items(df, id_col, text_col)
+    docs = named.filter("item IS NOT NULL").select("item", "text")
     depth, parts = matched_depth(threshold, trees, DEPTH, recall), near.partitions(df)
     factors = multipliers(trees * depth)
 
@@ -112,35 +107,27 @@ def forest_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         words = _Words()
         for batch in batches:
             ids, found_keys, seen = [], [], set()
-            for _, _, found, item in _items(batch, words):
-                if item is not None and item not in seen:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if item not in seen:
                     seen.add(item)
                     ids.append(item)
-                    found_keys.append(prefix_keys(found, trees, depth, factors))
+                    found_keys.append(prefix_keys(shingles(text.as_py(), words), trees, depth, factors))
             if ids:
                 yield near.key_batches(np.concatenate(found_keys), np.repeat(np.array(ids, np.uint64), trees), parts)
 
     def texts(batches):
-        words = _Words()
         for batch in batches:
             ids, contents, used = [], [], 0
-            for _, text, _, item in _items(batch, words):
-                if item is not None:
-                    ids.append(item)
-                    contents.append(text.encode("utf-8", "surrogatepass"))
-                    used += len(contents[-1])
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(item)
+                contents.append(text.as_py().encode("utf-8", "surrogatepass"))
+                used += len(contents[-1])
                 if used > 2 * BATCH_BYTES:
                     yield near.content_batches(np.array(ids, np.int64), contents, parts)
                     ids, contents, used = [], [], 0
             if ids:
                 yield near.content_batches(np.array(ids, np.int64), contents, parts)
 
-    def names(batches):
-        words = _Words()
-        for batch in batches:
-            rows = [(doc_id, item) for doc_id, _, _, item in _items(batch, words)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["doc_id", "item"])
-
     found = checkpointed(near.members(docs.mapInArrow(keys, "part int, blob binary")))
     packed = checkpointed(near.contents(docs.mapInArrow(texts, "part int, blob binary"), found))
     memory = _Words()
@@ -156,8 +143,8 @@ def forest_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     links, roots = near.linked(found, packed, prepare, similar)
     degree = links.select(F.col("a").alias("item")).union(links.select("b")).groupBy("item").agg(F.count("*").alias("n_links"))
-    named = checkpointed(docs.mapInArrow(names, "doc_id long, item long"))
-    placed = named.join(roots.withColumnRenamed("id", "item"), "item", "left").join(degree, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    placed = named.select("doc_id", "item").join(roots.withColumnRenamed("id", "item"), "item", "left").join(degree, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    placed = checkpointed(placed.select("doc_id", "root", "n_links"))
     smallest = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return placed.join(smallest, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
