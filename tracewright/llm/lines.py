@@ -26,6 +26,8 @@ from . import near
 from ._frames import BATCH_BYTES, checkpointed
 
 EDITS, SHORTEST, SHORTEST_NEAR = 2, 10, 48
+#: Characters of lines whose substrings are hashed at once: some 80 bytes of arrays for each.
+KEY_CHARS = 1 << 20
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 1 << 64)
 
@@ -147,8 +149,8 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(df.sparkSession)
     docs, parts = _rows(df, id_col, text_col), near.partitions(df)
 
-    def distinct(batches, least):
-        """Lists of about a batch's bytes of distinct lines."""
+    def distinct(batches, least, chars):
+        """Distinct lines, about ``chars`` characters of them at a time."""
         lines: dict[int, str] = {}
         used = 0
         for batch in batches:
@@ -157,19 +159,19 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     if len(line) >= least and (item := line_id(line)) not in lines:
                         lines[item] = line
                         used += len(line)
-                if used > BATCH_BYTES:
+                if used > chars:
                     yield lines
                     lines, used = {}, 0
         if lines:
             yield lines
 
     def keys(batches):
-        for lines in distinct(batches, SHORTEST_NEAR):
+        for lines in distinct(batches, SHORTEST_NEAR, KEY_CHARS):
             found, owners = line_keys(list(lines.values()), edits)
             yield near.key_batches(found, np.fromiter(lines, dtype=np.uint64, count=len(lines))[owners], parts)
 
     def contents(batches):
-        for lines in distinct(batches, SHORTEST_NEAR):
+        for lines in distinct(batches, SHORTEST_NEAR, BATCH_BYTES // 2):
             yield near.content_batches(np.fromiter(lines, dtype=np.int64, count=len(lines)), [v.encode("utf-8", "surrogatepass") for v in lines.values()], parts)
 
     def occurrences(batches):
