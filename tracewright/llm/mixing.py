@@ -11,6 +11,9 @@
    shards are a multinomial draw whose total is exactly the source's target; within a shard, slots are ordered by hash.
 5. Slots and blocks are joined by (source, index).
 
+Joins of tables that grow with the input ask for a sort-merge join: their rows compress so well in the shuffle that Spark would
+broadcast them.  The table of sources alone is left to be broadcast by its size.
+
 Everything follows from hashes of the data and ``seed``: reruns agree, whatever the partitioning.
 
 Defined results: null and empty texts have size 0 and are never taken; documents of size 0 alone make targets of 0.
@@ -80,7 +83,7 @@ def packed(docs: DataFrame, sources: DataFrame) -> DataFrame:
     starts = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("first"))
     order = Window.partitionBy("sid", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "mark")
     return (
-        dealt.join(starts, ["sid", "bucket"])
+        dealt.join(starts.hint("merge"), ["sid", "bucket"])
         .withColumn("place", F.row_number().over(order))
         .withColumn("start", F.col("first") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .drop("first")
@@ -135,7 +138,7 @@ def pieces(rows: DataFrame, block: int) -> DataFrame:
 def taken_pieces(rows: DataFrame, sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
     """Pieces joined with the slots that take them; ``n`` is what a slot takes of a piece."""
     cut = slots(sources, block, shard_slots, seed)
-    return pieces(rows, block).join(cut, ["sid", "index"]).withColumn("n", F.least("n", F.col("takes") - F.col("in_block"))).filter("n > 0")
+    return pieces(rows, block).join(cut.hint("merge"), ["sid", "index"]).withColumn("n", F.least("n", F.col("takes") - F.col("in_block"))).filter("n > 0")
 
 
 def mix(
@@ -147,7 +150,7 @@ def mix(
     sources = source_targets(docs, weights, share, cap)
     rows = packed(docs, sources)
     taken = taken_pieces(rows, sources, block, shard_slots, seed).groupBy("sid", "bucket", "place").agg(F.sum("n").alias("taken"))
-    return rows.join(taken, ["sid", "bucket", "place"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(taken.hint("merge"), ["sid", "bucket", "place"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_blocks(
@@ -168,7 +171,7 @@ def mixed_blocks(
     wanted = taken_pieces(rows, sources, block, shard_slots, seed).select("sid", "bucket", "place", F.struct("shard", "place_hash", "slot", "begin", "in_block", "n").alias("piece"))
     gathered = wanted.groupBy("sid", "bucket", "place").agg(F.collect_list("piece").alias("pieces"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    each = texts.join(gathered, ["sid", "bucket", "place"]).select("sid", "doc_id", words.alias("words"), "pieces").select("sid", "doc_id", "words", F.explode("pieces").alias("p"))
+    each = texts.join(gathered.hint("merge"), ["sid", "bucket", "place"]).select("sid", "doc_id", words.alias("words"), "pieces").select("sid", "doc_id", "words", F.explode("pieces").alias("p"))
     text = F.array_join(F.slice("words", F.col("p.begin").cast("int") + 1, F.col("p.n").cast("int")), " ")
     return each.select("p.shard", "p.place_hash", "p.slot", "sid", "p.in_block", "doc_id", F.col("p.n").alias("n_words"), text.alias("text"))
 
