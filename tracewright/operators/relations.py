@@ -103,7 +103,7 @@ def ancestors(df: DataFrame, node: str, parent: str, depth: int) -> DataFrame:
     """(node, ancestor, distance) by self joins up to ``depth`` steps: inheritance without endless cycles."""
     one = df.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).filter("ancestor IS NOT NULL")
     step, out = one.withColumn("distance", F.lit(1)), one.withColumn("distance", F.lit(1))
-    up = one.withColumnsRenamed({"node": "ancestor", "ancestor": "next"})
+    up = one.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
     for k in range(2, depth + 1):
         step = step.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(k).alias("distance"))
         out = out.unionByName(step)

@@ -171,7 +171,7 @@ def close_names(names: DataFrame, name: str, wanted: DataFrame, want: str, cutof
 
     def pairs(df, column, out):
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - 1, F.lit(1))), lambda i: F.lower(F.substring(F.col(column), i, F.lit(2)))))
-        return df.select(F.col(column).alias(out), F.explode(grams).alias("g")).distinct()
+        return df.select(F.explode(grams).alias("g"), F.col(column).alias("_n")).select(F.col("_n").alias(out), "g").distinct()
 
     # a ratio of matching characters needs lengths within the cutoff's bound
     both = pairs(wanted, want, "want").join(pairs(names, name, "name"), "g").select("want", "name").distinct()

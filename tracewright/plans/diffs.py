@@ -83,7 +83,7 @@ def drift(t: Tables) -> DataFrame:
     return C.drift(before, found)
 
 
-TITLE = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), x -> length(x) > 2))"
+TITLE = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) > 2))"
 
 
 @query("st9_finding_upsert", f"""WITH k AS (SELECT p_brand, p_type, p_partkey AS id, p_name AS was, CASE WHEN p_partkey % 2 = 0 THEN 'fixed' ELSE 'open' END AS status FROM part WHERE p_partkey <= 300), s AS (SELECT DISTINCT p_brand, p_type, p_name AS now FROM part WHERE p_partkey BETWEEN 200 AND 500),

@@ -20,8 +20,8 @@ def part_edges(t: Tables) -> DataFrame:
     return checkpointed(pairs.filter("src != dst").distinct())
 
 
-def _seeds(t: Tables, n: int = 3) -> DataFrame:
-    return t.part.filter(f"p_partkey <= {n}").select(F.col("p_partkey").alias("node"))
+def _seeds(t: Tables, which: str = "p_partkey <= 3") -> DataFrame:
+    return t.part.filter(which).select(F.col("p_partkey").alias("node"))
 
 
 def _pagerank_sql(steps: int) -> str:
@@ -51,7 +51,7 @@ def louvain(t: Tables) -> DataFrame:
     return G.louvain(part_edges(t).withColumn("weight", F.lit(1.0)))
 
 
-REVERSE = """walk AS (SELECT CAST(node AS BIGINT) AS node, 0 AS d FROM (VALUES (1), (2), (3)) s(node) UNION SELECT e.src, d + 1 FROM walk JOIN edges e ON e.dst = walk.node WHERE d < 3)"""
+REVERSE = """walk AS (SELECT p_partkey AS node, 0 AS d FROM part WHERE p_partkey <= 3 UNION SELECT e.src, d + 1 FROM walk JOIN edges e ON e.dst = walk.node WHERE d < 3)"""
 
 
 @query("g4_reverse_bfs", f"WITH RECURSIVE {EDGES}, {REVERSE} SELECT node, min(d) AS distance FROM walk GROUP BY node HAVING min(d) > 0")
@@ -74,10 +74,10 @@ def impact_levels(t: Tables) -> DataFrame:
     return ranked.filter("p <= 15").select("distance", "node", F.greatest(F.col("n") - 15, F.lit(0)).alias("omitted"))
 
 
-@query("g7_shortest_paths", f"""WITH RECURSIVE {EDGES}, walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS d, [CAST(1 AS BIGINT)] AS path UNION ALL SELECT e.dst, d + 1, list_append(path, e.dst) FROM walk JOIN edges e ON e.src = walk.node WHERE d < 3),
+@query("g7_shortest_paths", f"""WITH RECURSIVE {EDGES}, walk AS (SELECT p_partkey AS node, 0 AS d, [p_partkey] AS path FROM part WHERE p_partkey = 1 UNION ALL SELECT e.dst, d + 1, list_append(path, e.dst) FROM walk JOIN edges e ON e.src = walk.node WHERE d < 3),
 m AS (SELECT node, min(d) AS d FROM walk GROUP BY node) SELECT w.node, w.d AS distance, array_to_string(min(path), '>') AS path FROM walk w JOIN m ON m.node = w.node AND m.d = w.d WHERE w.d > 0 GROUP BY ALL""")
 def shortest_paths(t: Tables) -> DataFrame:
-    found = G.shortest_paths(_seeds(t, 1), part_edges(t), 3)
+    found = G.shortest_paths(_seeds(t, "p_partkey = 1"), part_edges(t), 3)
     return found.select("node", "distance", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
@@ -86,9 +86,9 @@ def bounded_walk(t: Tables) -> DataFrame:
     return G.bounded_walk(_seeds(t), part_edges(t))
 
 
-@query("g10_neighbourhood", f"WITH RECURSIVE {EDGES}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS d UNION SELECT u.dst, d + 1 FROM walk JOIN u ON u.src = walk.node WHERE d < 2) SELECT node, min(d) AS distance FROM walk GROUP BY node HAVING min(d) > 0")
+@query("g10_neighbourhood", f"WITH RECURSIVE {EDGES}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT p_partkey AS node, 0 AS d FROM part WHERE p_partkey = 1 UNION SELECT u.dst, d + 1 FROM walk JOIN u ON u.src = walk.node WHERE d < 2) SELECT node, min(d) AS distance FROM walk GROUP BY node HAVING min(d) > 0")
 def neighbourhood(t: Tables) -> DataFrame:
-    return G.reached(_seeds(t, 1), G.both_ways(part_edges(t)), 2)
+    return G.reached(_seeds(t, "p_partkey = 1"), G.both_ways(part_edges(t)), 2)
 
 
 REACH = "reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON e.src = r.b)"

@@ -85,7 +85,7 @@ def relative_imports(t: Tables) -> DataFrame:
 
 @query("jn12_import_edges", f"""WITH m AS (SELECT p_partkey, p_size, string_split(path, '/')[1] AS pkg, replace(regexp_replace(path, '\\.[^./]+$', ''), '/', '.') AS module FROM (SELECT *, {PATH} AS path FROM part)),
 wanted AS (SELECT p_partkey, module AS src, pkg || '.src.mod' || (p_partkey + p_size) AS want, pkg FROM m)
-SELECT p_partkey, CASE WHEN e.module IS NOT NULL THEN e.module WHEN k.pkg IS NOT NULL THEN w.pkg ELSE 'external' END AS target, e.module IS NULL AS fell_back
+SELECT w.p_partkey, CASE WHEN e.module IS NOT NULL THEN e.module WHEN k.pkg IS NOT NULL THEN w.pkg ELSE 'external' END AS target, e.module IS NULL AS fell_back
 FROM wanted w LEFT JOIN m e ON e.module = w.want LEFT JOIN (SELECT DISTINCT pkg FROM m WHERE p_size > 25) k ON k.pkg = w.pkg""")
 def import_edges(t: Tables) -> DataFrame:
     """An import is a module, else its package, else external."""
@@ -102,8 +102,8 @@ ROUTE_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in ROUTES)
 
 
 @query("jn13_route_match", rf"""WITH routes(handler, shape) AS (VALUES {ROUTE_VALUES}),
-r AS (SELECT handler, list_transform(list_filter(string_split(shape, '/'), s -> s != ''), s -> CASE WHEN s LIKE '{{%' THEN '*' ELSE s END) AS segs FROM routes),
-p AS (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), s -> s != '') AS segs FROM pages),
+r AS (SELECT handler, list_transform(list_filter(string_split(shape, '/'), lambda s: s != ''), lambda s: CASE WHEN s LIKE '{{%' THEN '*' ELSE s END) AS segs FROM routes),
+p AS (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda s: s != '') AS segs FROM pages),
 m AS (SELECT page_id, handler, (SELECT count(*) FROM range(1, len(p.segs) + 1) i(i) WHERE r.segs[i.i] = p.segs[i.i]) AS score FROM p JOIN r ON len(p.segs) = len(r.segs)
   WHERE (SELECT bool_and(r.segs[i.i] = '*' OR r.segs[i.i] = p.segs[i.i]) FROM range(1, len(p.segs) + 1) i(i))),
 b AS (SELECT *, rank() OVER (PARTITION BY page_id ORDER BY score DESC) AS place FROM m), c AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM b WHERE place = 1)

@@ -46,11 +46,11 @@ def _spans(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("span_id"), lo.alias("lo"), (lo + F.round("o_totalprice").cast("long") % 400).alias("hi"))
 
 
-@query("flt6_stab_innermost", f"""WITH {SPANS}, points AS (SELECT c_custkey AS k, (c_custkey * 37) % 1000 AS at FROM customer)
-SELECT k, at, arg_min(span_id, (hi - lo, -lo, span_id)) AS span_id FROM points JOIN spans USING (k) WHERE lo <= at AND at <= hi GROUP BY ALL""")
+@query("flt6_stab_innermost", f"""WITH {SPANS}, points AS (SELECT c_custkey AS k, (c_custkey * 37) % 1000 AS pos FROM customer)
+SELECT k, pos, arg_min(span_id, (hi - lo, -lo, span_id)) AS span_id FROM points JOIN spans USING (k) WHERE lo <= pos AND pos <= hi GROUP BY ALL""")
 def stab_innermost(t: Tables) -> DataFrame:
-    points = t.customer.select(F.col("c_custkey").alias("k"), ((F.col("c_custkey") * 37) % 1000).alias("at"))
-    return R.stab(points, _spans(t), ["k"], "at", "lo", "hi", "span_id")
+    points = t.customer.select(F.col("c_custkey").alias("k"), ((F.col("c_custkey") * 37) % 1000).alias("pos"))
+    return R.stab(points, _spans(t), ["k"], "pos", "lo", "hi", "span_id")
 
 
 @query("flt7_interval_overlap", f"""WITH {SPANS}, hunks AS (SELECT c_custkey AS k, (c_custkey * 37) % 900 AS h_lo, (c_custkey * 37) % 900 + 60 AS h_hi FROM customer)

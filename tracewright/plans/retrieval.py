@@ -179,7 +179,7 @@ GRAMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
 @query("ir24_twins", rf"""WITH b AS (SELECT doc_id AS k, source || ':' || (doc_id % 100) AS name, {GRAMS} AS w FROM documents), few AS (SELECT name FROM b GROUP BY name HAVING count(*) BETWEEN 2 AND 6),
-g AS (SELECT k, name, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), i -> array_to_string(w[i:i+2], ' '))) AS g FROM b WHERE name IN (SELECT name FROM few)),
+g AS (SELECT k, name, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM b WHERE name IN (SELECT name FROM few)),
 p AS (SELECT x.k AS a, y.k AS b, len(list_intersect(x.g, y.g)) AS s, len(x.g) AS m, len(y.g) AS n FROM g x JOIN g y ON x.name = y.name AND x.k < y.k)
 SELECT a, b, round(s / (m + n - s)::DOUBLE, 9) AS similarity FROM p WHERE round(s / (m + n - s)::DOUBLE, 9) >= 0.001::DOUBLE""")
 def twins(t: Tables) -> DataFrame:
@@ -202,7 +202,7 @@ def confidence(t: Tables) -> DataFrame:
 WORDS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}]{4,}'))"
 
 
-@query("ir28_overlap_search", rf"WITH d AS (SELECT item_id, {WORDS} AS w FROM benchmark), q AS (SELECT conv_id, turn, {WORDS} AS w FROM conversations WHERE role = 'user' AND turn <= 1), e AS (SELECT conv_id, turn, unnest(w) AS x FROM q), f AS (SELECT item_id, unnest(w) AS x FROM d) SELECT conv_id, turn, item_id, count(*) AS overlap FROM e JOIN f USING (x) GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY count(*) DESC, item_id) <= 2")
+@query("ir28_overlap_search", rf"WITH d AS (SELECT item_id, {WORDS} AS w FROM benchmark), q AS (SELECT conv_id, turn, {WORDS} AS w FROM conversations WHERE role = 'user' AND turn <= 1), e AS (SELECT conv_id, turn, unnest(w) AS x FROM q), f AS (SELECT item_id, unnest(w) AS x FROM d) SELECT conv_id, turn, item_id, count(*) AS overlap FROM e JOIN f USING (x) GROUP BY conv_id, turn, item_id QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY count(*) DESC, item_id) <= 2")
 def overlap_search(t: Tables) -> DataFrame:
     """Items by the number of words that they share with a request; words are the join key."""
     def words(df: DataFrame, *keys: str) -> DataFrame:

@@ -63,9 +63,9 @@ def decayed_state(t: Tables) -> DataFrame:
     return best.select("user_id", F.round("weight", 6).alias("weight"))
 
 
-@query("sm8_delivered_ranges", """WITH r AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS at, event_type AS q, event_id % 7 AS lo, event_id % 7 + event_id % 3 AS hi, event_id FROM events), c AS (SELECT *, CASE WHEN lag(q) OVER (PARTITION BY user_id ORDER BY at) = q THEN 0 ELSE 1 END AS c FROM r),
-n AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS run FROM c)
-SELECT event_id, EXISTS (SELECT 1 FROM n e WHERE e.user_id = n.user_id AND e.lo <= n.lo AND e.hi >= n.hi AND e.run < n.run AND n.at - e.at <= 86400) AS seen FROM n""")
+@query("sm8_delivered_ranges", """WITH r AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, event_type AS q, event_id % 7 AS lo, event_id % 7 + event_id % 3 AS hi, event_id FROM events), c AS (SELECT *, CASE WHEN lag(q) OVER (PARTITION BY user_id ORDER BY t) = q THEN 0 ELSE 1 END AS c FROM r),
+n AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT event_id, EXISTS (SELECT 1 FROM n e WHERE e.user_id = n.user_id AND e.lo <= n.lo AND e.hi >= n.hi AND e.run < n.run AND n.t - e.t <= 86400) AS seen FROM n""")
 def delivered_ranges(t: Tables) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     r = t.events.select("user_id", at.alias("at"), F.col("event_type").alias("q"), (F.col("event_id") % 7).alias("lo"), (F.col("event_id") % 7 + F.col("event_id") % 3).alias("hi"), "event_id")

@@ -23,9 +23,9 @@ def normalised_scores(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.round(F.col("p_retailprice") / t.part.agg(F.max("p_retailprice")).scalar(), 9).alias("score"))
 
 
-@query("wn3_first_occurrence", """WITH v AS (SELECT user_id, event_type, min(epoch_us(ts) * 100000 + event_id) AS first FROM events GROUP BY ALL) SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first) AS INTEGER) AS rank FROM v""")
+@query("wn3_first_occurrence", """WITH v AS (SELECT user_id, event_type, min((epoch_us(ts), event_id)) AS first FROM events GROUP BY ALL) SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first) AS INTEGER) AS rank FROM v""")
 def first_occurrence(t: Tables) -> DataFrame:
-    first = F.min(F.unix_micros(F.col("ts").cast("timestamp")) * 100000 + F.col("event_id"))
+    first = F.min(F.struct(F.unix_micros(F.col("ts").cast("timestamp")), "event_id"))
     v = t.events.groupBy("user_id", "event_type").agg(first.alias("first"))
     return v.select("user_id", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("first")).alias("rank"))
 
@@ -176,7 +176,7 @@ def fingerprint(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", S.fingerprint(F.col("source"), F.col("lang"), F.col("n_chars")).alias("fingerprint"))
 
 
-@query("sc4_title_jaccard", """WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), x -> length(x) > 2)) AS s FROM benchmark)
+@query("sc4_title_jaccard", """WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2)) AS s FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE, 9) AS jaccard FROM w a JOIN w b ON b.item_id = a.item_id + 1""")
 def title_jaccard(t: Tables) -> DataFrame:
     w = t.benchmark.select("item_id", S.title_words(F.col("text")).alias("s"))
@@ -184,7 +184,7 @@ def title_jaccard(t: Tables) -> DataFrame:
     return both.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(S.jaccard(F.col("a.s"), F.col("b.s")), 9).alias("jaccard"))
 
 
-@query("sc5_snippets", """WITH h AS (SELECT doc_id, text, strpos(text, 'token') AS at FROM documents WHERE contains(text, 'token')), s AS (SELECT *, CAST(greatest(1, least(at - 30, length(text) - 59)) AS BIGINT) AS b FROM h)
+@query("sc5_snippets", """WITH h AS (SELECT doc_id, text, strpos(text, 'token') AS pos FROM documents WHERE contains(text, 'token')), s AS (SELECT *, CAST(greatest(1, least(pos - 30, length(text) - 59)) AS BIGINT) AS b FROM h)
 SELECT doc_id, (CASE WHEN b > 1 THEN '…' ELSE '' END) || substr(text, b, 60) || (CASE WHEN b + 60 <= length(text) THEN '…' ELSE '' END) AS snippet FROM s""")
 def snippets(t: Tables) -> DataFrame:
     return t.documents.filter(F.contains("text", F.lit("token"))).select("doc_id", S.snippet(F.col("text"), F.instr("text", "token"), 60).alias("snippet"))
@@ -210,7 +210,7 @@ def slugs(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.slug(F.col("p_name")).alias("slug"))
 
 
-@query("sc15_url_segments", r"SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), s -> s != ''), '|') AS segments FROM pages")
+@query("sc15_url_segments", r"SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda s: s != ''), '|') AS segments FROM pages")
 def url_segments(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.array_join(S.url_segments(F.col("url")), "|").alias("segments"))
 

@@ -17,8 +17,12 @@ from tracewright.session import checkpointed
 
 def event_stream(spark: SparkSession, path: str, name: str, per_trigger: int = 64) -> DataFrame:
     """The events of a Parquet file or folder, as a stream of its files."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "*.parquet").parquet(path if not path.endswith(f"{name}.parquet") else path)
+    batch = spark.read.parquet(path)
+    reader = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", per_trigger)
+    if any(f.rstrip("/").endswith(f"/{name}.parquet") for f in batch.inputFiles()[:1]):
+        # a stream watches a folder: here the one that holds the file
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(path.rstrip("/").rpartition("/")[0])
+    return reader.parquet(path)
 
 
 def tumbling(events: DataFrame, ts: str, width: str, late: str, *keys: str) -> DataFrame:
