@@ -39,6 +39,8 @@ BROADCAST_ROWS = 4_000_000
 SALTS = 8
 #: Distinct n-grams that a task holds before it hands them on.
 HELD_GRAMS = 3_000_000
+#: All trusted text makes one model, so that mixed or mistagged languages are no fault of a text; thresholds are by language.
+MODEL = 0
 QUANTILE, TOLERANCE, PRIOR, ENOUGH = 0.99, 1.5, 60, 20
 RESULTS = ("n_symbols", "perplexity", "threshold", "keep")
 
@@ -73,7 +75,7 @@ def marked(df: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFram
     return df.join(trusted, F.col(id_col) == F.col("trusted_id"), "left").withColumn("mark", mark).drop("trusted_id")
 
 
-def shard_counts(df: DataFrame, text_col: str, lang_col: str, shards: int) -> DataFrame:
+def shard_counts(df: DataFrame, text_col: str, shards: int) -> DataFrame:
     """(shard, codes, counts): the 4-gram counts of all of ``df``, one row a shard."""
 
     def partial(batches):
@@ -89,8 +91,8 @@ def shard_counts(df: DataFrame, text_col: str, lang_col: str, shards: int) -> Da
             held.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                grams, n = np.unique(kn.ngrams(text.as_py() or "", kn.language_code(lang)), return_counts=True)
+            for text in batch.column(0):
+                grams, n = np.unique(kn.ngrams(text.as_py() or "", MODEL), return_counts=True)
                 own = held.setdefault(0, [[], []])
                 own[0].append(grams)
                 own[1].append(n.astype(np.int64))
@@ -111,7 +113,7 @@ def shard_counts(df: DataFrame, text_col: str, lang_col: str, shards: int) -> Da
         return pa.Table.from_batches([_batch([(table["shard"][0].as_py(), _squeeze(codes), _pack(counts))], COUNTS)])
 
     spec = "shard int, codes binary, counts binary"
-    return df.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(partial, spec).groupBy("shard").applyInArrow(total, spec)
+    return df.select(F.col(text_col).cast("string")).mapInArrow(partial, spec).groupBy("shard").applyInArrow(total, spec)
 
 
 COUNTS = pa.schema([("shard", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
@@ -150,7 +152,7 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_co
     i, t, la = (id_col, text_col, lang_col) if carry else ("doc_id", "text", "lang")
     shards = _partitions(df)
     blocks = 2 * shards
-    counts = checkpointed(shard_counts(rows.filter("mark = 1"), t, la, shards))
+    counts = checkpointed(shard_counts(rows.filter("mark = 1"), t, shards))
     known = df.sparkSession.sparkContext.broadcast(statistics(counts))
 
     def ask(batches):
@@ -166,9 +168,9 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_co
             held.clear()
 
         for batch in batches:
-            ids, langs, texts = (batch.column(k).to_pylist() for k in range(3))
-            for block, lang, text in zip(_blocks(ids, texts, blocks).tolist(), langs, texts, strict=True):
-                grams = np.unique(kn.ngrams(text or "", kn.language_code(lang)))
+            ids, texts = (batch.column(k).to_pylist() for k in range(2))
+            for block, text in zip(_blocks(ids, texts, blocks).tolist(), texts, strict=True):
+                grams = np.unique(kn.ngrams(text or "", MODEL))
                 held.setdefault(block, []).append(grams)
                 size += grams.size
             if size > 2 * HELD_GRAMS:
@@ -221,15 +223,15 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_co
         for blob in packed["rows"].to_pylist():
             table = pa.ipc.open_stream(blob).read_all()
             sizes, sums = [], []
-            for lang, text in zip(table[la].to_pylist(), table[t].to_pylist(), strict=True):
-                grams, n = np.unique(kn.ngrams(text or "", kn.language_code(lang)), return_counts=True)
+            for text in table[t].to_pylist():
+                grams, n = np.unique(kn.ngrams(text or "", MODEL), return_counts=True)
                 sizes.append(int(n.sum()))
                 sums.append(round(-float((logs[np.searchsorted(codes, grams)] * n).sum()), 4) if grams.size else 0.0)
             table = table.select([f.name for f in plain])
             out.append(table.append_column("n_symbols", pa.array(sizes, pa.int64())).append_column("nll", pa.array(sums, pa.float64())))
         return pa.concat_tables(out)
 
-    cols = [F.col(i).cast("long"), F.col(la).cast("string"), F.col(t).cast("string")]
+    cols = [F.col(i).cast("long"), F.col(t).cast("string")]
     copies = counts.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
     asked = rows.select(*cols).mapInArrow(ask, "shard int, salt int, block long, codes binary")
     answers = copies.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(answer, "block long, codes binary, logs binary")
