@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import diffs, graphs, history, joins, lookups, retrieval, scoring, selection, streams, windows  # noqa: F401  they register
+from . import composed, diffs, graphs, history, joins, lookups, retrieval, scoring, selection, streams, windows  # noqa: F401  they register
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
