@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,8 +41,7 @@ def map_documents(
         for batch in batches:
             rows: list[tuple] = []
             used = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
+            for doc_id, text in ((i.as_py(), t.as_py()) for i, t in zip(batch.column(0), batch.column(1), strict=True)):
                 got = each(doc_id, text)
                 if isinstance(got, list):
                     rows += got
@@ -54,7 +54,34 @@ def map_documents(
             if rows:
                 yield to_batch(rows, arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
+
+
+def release() -> None:
+    """Gives a Python worker's freed memory back to the system: idle workers stay beside the JVM for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries trim by themselves
+        pass
+
+
+def releasing(run: Callable) -> Callable:
+    """``run`` over a task's batches, followed by ``release``."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that few of its texts are Python strings at a time."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
 
 
 def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:

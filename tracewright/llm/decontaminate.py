@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tracewright.session import ship
 
-from ._frames import id_and_text
+from ._frames import id_and_text, releasing
 
 LENGTH_PER_EDIT = 20
 SLICE_CHARS = 8 << 20
@@ -192,7 +192,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROWS, strict=True)], schema=ROWS)
 
-        return docs.mapInArrow(run, "doc_id long, item_id long, edits int, match_end long")
+        return docs.mapInArrow(releasing(run), "doc_id long, item_id long, edits int, match_end long")
 
     out = None
     for k in range(slices):

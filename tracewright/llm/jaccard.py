@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from tracewright.session import ship
 
 from . import near
-from ._frames import BATCH_BYTES, checkpointed, id_and_text
+from ._frames import BATCH_BYTES, checkpointed, id_and_text, releasing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 63, 12, 0.99999
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def matched_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -122,14 +122,14 @@ def forest_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                 ids.append(item)
                 contents.append(text.as_py().encode("utf-8", "surrogatepass"))
                 used += len(contents[-1])
-                if used > 2 * BATCH_BYTES:
+                if used > BATCH_BYTES // 2:
                     yield near.content_batches(np.array(ids, np.int64), contents, parts)
                     ids, contents, used = [], [], 0
             if ids:
                 yield near.content_batches(np.array(ids, np.int64), contents, parts)
 
-    found = checkpointed(near.members(docs.mapInArrow(keys, "part int, blob binary")))
-    packed = checkpointed(near.contents(docs.mapInArrow(texts, "part int, blob binary"), found))
+    found = checkpointed(near.members(docs.mapInArrow(releasing(keys), "part int, blob binary")))
+    packed = checkpointed(near.contents(docs.mapInArrow(releasing(texts), "part int, blob binary"), found))
     memory = _Words()
 
     def prepare(raw: bytes) -> np.ndarray:

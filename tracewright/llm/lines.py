@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tracewright.session import ship
 
 from . import near
-from ._frames import BATCH_BYTES, checkpointed
+from ._frames import BATCH_BYTES, checkpointed, releasing, slices
 
 EDITS, SHORTEST, SHORTEST_NEAR = 2, 10, 48
 #: Characters of lines whose substrings are hashed at once: some 80 bytes of arrays for each.
@@ -171,11 +171,11 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield near.key_batches(found, np.fromiter(lines, dtype=np.uint64, count=len(lines))[owners], parts)
 
     def contents(batches):
-        for lines in distinct(batches, SHORTEST_NEAR, BATCH_BYTES // 2):
+        for lines in distinct(batches, SHORTEST_NEAR, BATCH_BYTES // 4):
             yield near.content_batches(np.fromiter(lines, dtype=np.int64, count=len(lines)), [v.encode("utf-8", "surrogatepass") for v in lines.values()], parts)
 
     def occurrences(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = [[], [], [], []]
             for doc_id, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 for k, line in _lines(text.as_py()):
@@ -183,10 +183,10 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, OCCURRENCES, strict=True)], schema=OCCURRENCES)
 
-    found = checkpointed(near.members(docs.mapInArrow(keys, "part int, blob binary")))
-    packed = checkpointed(near.contents(docs.mapInArrow(contents, "part int, blob binary"), found))
+    found = checkpointed(near.members(docs.mapInArrow(releasing(keys), "part int, blob binary")))
+    packed = checkpointed(near.contents(docs.mapInArrow(releasing(contents), "part int, blob binary"), found))
     _, roots = near.linked(found, packed, lambda raw: raw.decode("utf-8", "surrogatepass"), lambda a, b: within(a, b, edits))
-    placed = docs.mapInArrow(occurrences, "item long, doc_id long, row_key long, line int").join(roots.withColumnRenamed("id", "item"), "item", "left")
+    placed = docs.mapInArrow(releasing(occurrences), "item long, doc_id long, row_key long, line int").join(roots.withColumnRenamed("id", "item"), "item", "left")
     placed = checkpointed(placed.select(F.coalesce("root", "item").alias("root"), "doc_id", "row_key", "line"))
     place = F.struct("doc_id", "row_key", "line")
     first = placed.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import checkpointed
+from ._frames import checkpointed, release, releasing
 
 KEYS = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 MEMBERS = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("leader", pa.int64())])
@@ -59,6 +59,7 @@ def members(blobs: DataFrame) -> DataFrame:
         many = np.repeat(size > 1, size)
         leader = np.repeat(item[first], size)
         columns = [x[many].view(np.int64) for x in (key, item, leader)]
+        release()
         return pa.Table.from_arrays([pa.array(c) for c in columns], schema=MEMBERS)
 
     return blobs.groupBy("part").applyInArrow(gather, "bucket long, id long, leader long")
@@ -77,6 +78,7 @@ def contents(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
                     left.discard(row[0])
                     ids.append(row[0])
                     packed.append(zstandard.ZstdCompressor(level=1).compress(row[1]))
+        release()
         return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["id", "packed"])
 
     asked = wanted.select("id").distinct().withColumn("part", F.pmod("id", F.lit(parts)).cast("int"))
@@ -134,7 +136,7 @@ def verified(pairs: DataFrame, packed: DataFrame, prepare: Callable[[bytes], obj
             at = [k for k, yes in enumerate(keep) if yes]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in at], pa.int64()) for x in (a, b)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(releasing(run), "a long, b long")
 
 
 def classes(links: DataFrame) -> DataFrame:

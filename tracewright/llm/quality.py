@@ -6,7 +6,7 @@
    questions of one shard are salted over several copies of its counts.  Documents meet their block's answers, and sum
    them to their perplexity.
 3. For each language a quantile of the held-out documents' perplexities, times a tolerance, is the threshold; a language
-   with few held-out documents takes the quantile over all languages.  Short texts are drawn towards the language's
+   with few held-out documents takes the quantile over all languages and a wider tolerance.  Short texts are drawn towards the language's
    mean by ``PRIOR`` symbols' worth of it.
 
 Labels are broadcast below ``BROADCAST_ROWS`` rows and joined by shuffle beyond.  The discounts and lowest-order counts
@@ -19,7 +19,6 @@ says otherwise.  Repeated rows are scored each.  Columns named like the results
 
 from __future__ import annotations
 
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +30,19 @@ from pyspark.sql import types as T
 from tracewright.session import ship
 
 from . import kneser_ney as kn
-from ._frames import checkpointed
+from ._frames import checkpointed, release, releasing
 
 #: Labelled rows up to which they are broadcast: 8 bytes each.
 BROADCAST_ROWS = 4_000_000
 #: Copies of each shard's counts that its questions are dealt to.
 SALTS = 8
 #: Distinct n-grams that a task holds before it hands them on.
-HELD_GRAMS = 3_000_000
+HELD_GRAMS = 1_000_000
 #: All trusted text makes one model, so that mixed or mistagged languages are no fault of a text; thresholds are by language.
 MODEL = 0
-QUANTILE, TOLERANCE, PRIOR, ENOUGH = 0.99, 1.5, 60, 20
+QUANTILE, TOLERANCE, PRIOR = 0.99, 1.5, 60
+#: Held-out documents from which a language has a quantile of its own, and the tolerance for languages of fewer.
+ENOUGH, FEW_TOLERANCE = 20, 2.0
 RESULTS = ("n_symbols", "perplexity", "threshold", "keep")
 
 
@@ -113,7 +114,7 @@ def shard_counts(df: DataFrame, text_col: str, shards: int) -> DataFrame:
         return pa.Table.from_batches([_batch([(table["shard"][0].as_py(), _squeeze(codes), _pack(counts))], COUNTS)])
 
     spec = "shard int, codes binary, counts binary"
-    return df.select(F.col(text_col).cast("string")).mapInArrow(partial, spec).groupBy("shard").applyInArrow(total, spec)
+    return df.select(F.col(text_col).cast("string")).mapInArrow(releasing(partial), spec).groupBy("shard").applyInArrow(total, spec)
 
 
 COUNTS = pa.schema([("shard", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
@@ -140,14 +141,10 @@ def statistics(counts: DataFrame) -> kn.Statistics:
     return kn.Statistics({(r.lang, r.level, r.j): r.n for r in rows})
 
 
-def _blocks(ids: list, texts: list, blocks: int) -> np.ndarray:
-    return np.array([zlib.crc32((t or "")[:256].encode("utf-8", "surrogatepass"), (i or 0) & 0xFFFFFFFF) % blocks for i, t in zip(ids, texts, strict=True)], dtype=np.int64)
-
-
 def scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, carry: bool) -> DataFrame:
     """(``df``'s columns, or its id and language), n_symbols, nll, mark: each text's negative log-likelihood."""
     ship(df.sparkSession)
-    kept = df.drop(*(c for c in df.columns if c in (*RESULTS, "nll", "mark", "trusted_id") and c not in (id_col, text_col, lang_col)))
+    kept = df.drop(*(c for c in df.columns if c in (*RESULTS, "nll", "mark", "trusted_id", "_block") and c not in (id_col, text_col, lang_col)))
     rows = marked(kept if carry else kept.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), labels, id_col if carry else "doc_id")
     i, t, la = (id_col, text_col, lang_col) if carry else ("doc_id", "text", "lang")
     shards = _partitions(df)
@@ -168,9 +165,8 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_co
             held.clear()
 
         for batch in batches:
-            ids, texts = (batch.column(k).to_pylist() for k in range(2))
-            for block, text in zip(_blocks(ids, texts, blocks).tolist(), texts, strict=True):
-                grams = np.unique(kn.ngrams(text or "", MODEL))
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams = np.unique(kn.ngrams(text.as_py() or "", MODEL))
                 held.setdefault(block, []).append(grams)
                 size += grams.size
             if size > 2 * HELD_GRAMS:
@@ -194,12 +190,13 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_co
         for block, blobs in by_block.items():
             wanted = np.unique(np.concatenate([_codes(b) for b in blobs]))
             out.append((block, _squeeze(wanted), _pack(kn.log_probabilities(shard, known.value, wanted).astype(np.float32))))
+        release()
         return pa.Table.from_batches([_batch(out, ANSWERS)])
 
     def pack(batches):
         for batch in batches:
-            names = batch.schema.names
-            of = _blocks(batch.column(names.index(i)).cast(pa.int64()).to_pylist(), batch.column(names.index(t)).to_pylist(), blocks)
+            of = batch.column(batch.num_columns - 1).to_numpy()
+            batch = batch.select(batch.schema.names[:-1])
             order = np.argsort(of, kind="stable")
             bounds = np.flatnonzero(np.diff(of[order], prepend=-1))
             out = []
@@ -229,13 +226,14 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_co
                 sums.append(round(-float((logs[np.searchsorted(codes, grams)] * n).sum()), 4) if grams.size else 0.0)
             table = table.select([f.name for f in plain])
             out.append(table.append_column("n_symbols", pa.array(sizes, pa.int64())).append_column("nll", pa.array(sums, pa.float64())))
+        release()
         return pa.concat_tables(out)
 
-    cols = [F.col(i).cast("long"), F.col(t).cast("string")]
+    block = F.pmod(F.xxhash64(F.col(i).cast("long"), F.col(t).cast("string")), F.lit(blocks)).alias("_block")
     copies = counts.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
-    asked = rows.select(*cols).mapInArrow(ask, "shard int, salt int, block long, codes binary")
+    asked = rows.select(block, F.col(t).cast("string")).mapInArrow(releasing(ask), "shard int, salt int, block long, codes binary")
     answers = copies.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(answer, "block long, codes binary, logs binary")
-    packed = rows.mapInArrow(pack, "block long, rows binary")
+    packed = rows.select("*", block).mapInArrow(releasing(pack), "block long, rows binary")
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, result)
 
 
@@ -258,9 +256,10 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pooled = cuts.filter("NOT own")
     all_mean, all_cut = pooled.select("mean").scalar(), pooled.select("cut").scalar()
     named = scores.withColumn("no_lang", F.col(la).isNull()).withColumn("held_lang", F.coalesce(F.col(la).cast("string"), F.lit("")))
-    joined = named.join(own, ["no_lang", "held_lang"], "left").withColumn("own_mean", F.coalesce("own_mean", all_mean)).withColumn("own_cut", F.coalesce("own_cut", all_cut))
+    tolerance = F.when(F.col("own_cut").isNull(), FEW_TOLERANCE).otherwise(TOLERANCE)
+    joined = named.join(own, ["no_lang", "held_lang"], "left").withColumn("tolerance", tolerance).withColumn("own_mean", F.coalesce("own_mean", all_mean)).withColumn("own_cut", F.coalesce("own_cut", all_cut))
     drawn = F.when(F.col("n_symbols") > 0, (F.col("nll") + PRIOR * F.coalesce("own_mean", F.lit(0.0))) / (F.col("n_symbols") + PRIOR))
-    threshold = F.exp("own_cut") * TOLERANCE
+    threshold = F.exp("own_cut") * F.col("tolerance")
     carried = [c for c in scores.columns if c not in ("n_symbols", "nll", "mark")]
     return joined.select(
         *carried, "n_symbols", F.round(F.exp(drawn), 6).alias("perplexity"), F.round(threshold, 6).alias("threshold"), (F.coalesce(F.exp(drawn) <= threshold, F.lit(True))).alias("keep")
