@@ -138,3 +138,24 @@ def test_sinks(spark, tmp_path):
     assert sinks.mermaid(df).count() == 3 and sinks.dot(df).first().line == '"1" -> "2";' and sinks.graphml(df.select("src"), df).count() == 4
     assert "</script>" in sinks.html_page("t", {"a": "</script>"}) and sinks.html_page("t", {"a": "</script>"}).count("</script>") == 1
     assert {r.src: r.note for r in sinks.notes(df.select("src"), df, "src").collect()} == {1: "# 1\n- [[2]]", 2: "# 2\n- [[3]]"}
+
+
+def test_types_shapes_and_support(spark, parsed):
+    text = "LIMIT = 3\n\n\ndef used(x: Box) -> int:\n    y = Box(1)\n    z = lower()\n    return y\n\n\ndef main():\n    return {'a': used(LIMIT), 'b': 1}\n"
+    made = code.parse_python("m.py", text)
+    assert {s["name"]: s["local_types"] for s in made["symbols"]} == {"used": {"x": "Box", "y": "Box"}, "main": {}}
+    assert code.produces_shape(text, ["a", "b"]) and not code.produces_shape(text, ["c"]) and not code.produces_shape("def (", ["a"])
+    assert code.local_support(text, 10, 11) == [(1, 1, "LIMIT"), (4, 7, "used")]
+    blocks = spark.createDataFrame([("m.py", 10, 11)], "file string, lo long, hi long")
+    found = code.support_blocks(blocks, spark.createDataFrame([("m.py", text)], "path string, text string")).collect()
+    assert [(r.start, r.end, r.name) for r in found] == [(1, 1, "LIMIT"), (4, 7, "used")]
+
+
+def test_headers_and_regions(spark):
+    from tracewright.functions.scalars import header_fields, marked_regions
+
+    text = "# t\n- Status: open\n- date: 2024\n- status: closed\n<!-- begin:generated a/b -->\nx\ny\n<!-- end:generated --> <!-- begin:agent n -->z<!-- end:agent -->"
+    df = spark.createDataFrame([(text,), ("",)], "t string")
+    rows = df.select(header_fields(df.t).alias("h"), marked_regions(df.t).alias("r")).collect()
+    assert rows[0].h == {"status": "closed", "date": "2024"} and [tuple(x) for x in rows[0].r] == [("generated", "a/b", "x\ny"), ("agent", "n", "z")]
+    assert rows[1].h == {} and rows[1].r == []

@@ -148,6 +148,20 @@ def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def header_fields(text: Column) -> Column:
+    """The ``- key: value`` lines at a decision's head as a map; of a repeated key, the last counts."""
+    pairs = F.regexp_extract_all(text, F.lit(r"(?m)^- ([A-Za-z_]+): (.*)$"), F.lit(0))
+    entries = F.transform(pairs, lambda p: F.struct(F.lower(F.regexp_extract(p, r"^- ([A-Za-z_]+): ", 1)).alias("k"), F.trim(F.regexp_extract(p, r"^- [A-Za-z_]+: (.*)$", 1)).alias("v")))
+    return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])))
+
+
+def marked_regions(text: Column) -> Column:
+    """(kind, name, body) of regions between ``<!-- begin:kind name -->`` and ``<!-- end:kind -->``."""
+    pattern = r"(?s)<!-- begin:(\w+) ([\w./-]+) -->\n?(.*?)\n?<!-- end:\1 -->"
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.transform(whole, lambda r: F.struct(F.regexp_extract(r, pattern, 1).alias("kind"), F.regexp_extract(r, pattern, 2).alias("name"), F.regexp_extract(r, pattern, 3).alias("body")))
+
+
 def is_test_file(path: Column) -> Column:
     """File-name and folder conventions of tests across languages."""
     return any_of(

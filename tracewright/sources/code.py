@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewright.session import ship
 
-SYMBOL = "struct<name:string,qualname:string,kind:string,start:int,end:int,signature:string,doc:string,decorators:array<string>,bases:array<string>,calls:array<struct<target:string,line:int>>,parent:string,complexity:int,fields:array<string>,is_async:boolean>"
+SYMBOL = "struct<name:string,qualname:string,kind:string,start:int,end:int,signature:string,doc:string,decorators:array<string>,bases:array<string>,calls:array<struct<target:string,line:int>>,parent:string,complexity:int,fields:array<string>,is_async:boolean,local_types:map<string,string>>"
 PARSED = (
     f"path string, language string, symbols array<{SYMBOL}>, imports array<struct<module:string,name:string,alias:string,level:int,line:int>>, "
     "env_reads array<struct<key:string,line:int>>, smells array<struct<kind:string,line:int,detail:string>>, all_names array<string>, has_main_guard boolean, parse_error string"
@@ -53,6 +53,62 @@ def calls(node: ast.AST) -> list[dict]:
     return [{"target": t, "line": line} for t, line in sorted(found)]
 
 
+def local_types(node: ast.AST) -> dict[str, str]:
+    """What a function's parameters are annotated as and its names are built as: ``x: A`` and ``x = A(...)``."""
+    out: dict[str, str] = {}
+    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+        for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
+            if a.annotation is not None and (kind := dotted(a.annotation)):
+                out[a.arg] = kind
+        for n in sorted((n for n in inside(node) if isinstance(n, (ast.Assign, ast.AnnAssign))), key=lambda n: n.lineno):
+            targets = n.targets if isinstance(n, ast.Assign) else [n.target]
+            kind = dotted(n.annotation) if isinstance(n, ast.AnnAssign) else dotted(n.value.func) if isinstance(n.value, ast.Call) else None
+            for t in targets:
+                if kind and isinstance(t, ast.Name) and kind.split(".")[-1][:1].isupper():
+                    out[t.id] = kind
+    return out
+
+
+def produces_shape(text: str, fields: list[str]) -> bool:
+    """Whether code builds a mapping that has all the fields: by a literal, or by keyword arguments of ``dict``."""
+    try:
+        tree = ast.parse(text)
+    except SyntaxError:
+        return False
+    for n in ast.walk(tree):
+        keys = {k.value for k in n.keys if isinstance(k, ast.Constant)} if isinstance(n, ast.Dict) else {k.arg for k in n.keywords} if isinstance(n, ast.Call) and dotted(n.func) == "dict" else set()
+        if fields and set(fields) <= keys:
+            return True
+    return False
+
+
+def local_support(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
+    """(start, end, name) of the file's own top-level functions, classes and constants that lines lo to hi use, and that lie elsewhere."""
+    try:
+        tree = ast.parse(text)
+    except SyntaxError:
+        return []
+    used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load) and lo <= n.lineno <= hi}
+    out = []
+    for n in tree.body:
+        names = [n.name] if hasattr(n, "name") else [t.id for t in getattr(n, "targets", [getattr(n, "target", None)]) if isinstance(t, ast.Name)]
+        out += [(n.lineno, n.end_lineno, name) for name in names if name in used and not (lo <= n.lineno <= hi)]
+    return sorted(out)
+
+
+def support_blocks(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, lo, hi, start, end, name): what blocks (file, lo, hi) use of their own files (path, text)."""
+    ship(blocks.sparkSession)
+
+    def run(frames):
+        for frame in frames:
+            rows = [(r.file, r.lo, r.hi, *s) for r in frame.itertuples() for s in local_support(r.text, r.lo, r.hi)]
+            yield pd.DataFrame(rows, columns=["file", "lo", "hi", "start", "end", "name"])
+
+    both = blocks.select("file", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi")).join(files.select(F.col("path").alias("file"), "text"), "file")
+    return both.mapInPandas(run, "file string, lo int, hi int, start int, end int, name string")
+
+
 def smells(tree: ast.AST, text: str) -> list[dict]:
     out = []
     for n in ast.walk(tree):
@@ -107,7 +163,7 @@ def parse_python(path: str, text: str) -> dict:
                 symbols[name] = {
                     "name": n.name, "qualname": name, "kind": "class" if is_class else "method" if in_class else "function", "start": n.lineno, "end": n.end_lineno, "signature": signature,
                     "doc": (ast.get_docstring(n) or "").split("\n")[0], "decorators": [ast.unparse(d) for d in n.decorator_list], "bases": [b for x in getattr(n, "bases", []) if (b := dotted(x))],
-                    "calls": calls(n), "parent": parent, "complexity": 1 if is_class else complexity(n), "fields": fields, "is_async": isinstance(n, ast.AsyncFunctionDef),
+                    "calls": calls(n), "parent": parent, "complexity": 1 if is_class else complexity(n), "fields": fields, "is_async": isinstance(n, ast.AsyncFunctionDef), "local_types": local_types(n),
                 }
                 visit(n.body, name, is_class)
             elif isinstance(n, (ast.If, ast.Try, ast.With)):
@@ -165,7 +221,7 @@ def parse_braces(path: str, text: str) -> dict:
         symbols.append({
             "name": name, "qualname": f"{parent}.{name}" if parent else name, "kind": "class" if kind == "class" else "method" if around and around[-1][2] == "class" else "function", "start": first,
             "end": plain.count("\n", 0, b) + 1, "signature": " ".join(text[a:opened].split()), "doc": "", "decorators": [], "bases": [], "calls": [{"target": t, "line": n} for t, n in sorted(called)], "parent": parent,
-            "complexity": 1 if kind == "class" else 1 + len(re.findall(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?\s", body)), "fields": [], "is_async": "async" in text[a:opened] or "suspend" in text[a:opened],
+            "complexity": 1 if kind == "class" else 1 + len(re.findall(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?\s", body)), "fields": [], "is_async": "async" in text[a:opened] or "suspend" in text[a:opened], "local_types": {},
         })
         closed = max(closed, b)
     imports = [{"module": m[1] or m[2], "name": None, "alias": None, "level": 0, "line": text.count("\n", 0, m.start()) + 1} for m in re.finditer(r"^\s*import\b[^\n'\"]*?(?:['\"]([^'\"]+)['\"]|([\w.]+))", text, re.MULTILINE)]
