@@ -135,7 +135,9 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
         check = 1 if _iban_valid(value) else -1
     elif kind == "national_id":
         check = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
-    elif kind in ("phone", "local_phone"):
+    elif kind == "local_phone":  # neither area nor exchange starts with 0 or 1
+        check = -1 if digits[0] in "01" or digits[3] in "01" else 1
+    elif kind == "phone":
         check = 1 if 10 <= len(digits) <= 15 else -1
     else:
         check = 0
