@@ -36,6 +36,8 @@ from ._frames import checkpointed, release, releasing
 BROADCAST_ROWS = 4_000_000
 #: Copies of each shard's counts that its questions are dealt to.
 SALTS = 8
+#: Consecutive ids that share a block of documents.
+NEIGHBOURS = 512
 #: Distinct n-grams that a task holds before it hands them on.
 HELD_GRAMS = 1_000_000
 #: All trusted text makes one model, so that mixed or mistagged languages are no fault of a text; thresholds are by language.
@@ -229,7 +231,9 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_co
         release()
         return pa.concat_tables(out)
 
-    block = F.pmod(F.xxhash64(F.col(i).cast("long"), F.col(t).cast("string")), F.lit(blocks)).alias("_block")
+    # neighbours in id order, which files tend to hold together, share a block and so ask for each n-gram once
+    near_ids = F.floor(F.col(i).cast("long") / NEIGHBOURS)
+    block = F.pmod(F.xxhash64(F.coalesce(near_ids, F.xxhash64(F.col(t).cast("string")))), F.lit(blocks)).alias("_block")
     copies = counts.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
     asked = rows.select(block, F.col(t).cast("string")).mapInArrow(releasing(ask), "shard int, salt int, block long, codes binary")
     answers = copies.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(answer, "block long, codes binary, logs binary")
