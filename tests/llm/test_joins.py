@@ -137,6 +137,43 @@ def test_line_dedup_equals_brute_force(spark):
         assert left.get(i) == (t if not dropped[i] else want if want.strip() else None)
 
 
+def test_edits_grow_with_the_line(spark):
+    rnd = random.Random(11)
+    texts, expected = [], {}
+
+    def family(line, edits):
+        other = line
+        for q in sorted(rnd.sample(range(len(line)), edits), reverse=True):
+            other = other[:q] + rnd.choice(["#", ""]) + other[q + 1 :]
+        texts.extend([line, other])
+        expected[len(texts) - 2], expected[len(texts) - 1] = "", "0" if lines.similar(line, other) else ""
+        return lines.similar(line, other)
+
+    for _ in range(12):
+        assert family(" ".join(words(rnd, 110, 5000))[:380], 11)  # 11 edits in 380 characters
+        assert not family(" ".join(words(rnd, 110, 5000))[:380].replace(" ", "-"), 40)
+        assert family(" ".join(words(rnd, 40, 5000))[:130], 3)
+    texts += ["Are is anwh reenen.", "Are, is anwh reenen.", "Les.", "Les.", "Das."]  # one edit in 19; equal and short
+    expected |= dict(zip(range(len(texts) - 5, len(texts)), ["", "0", "", "0", ""], strict=True))
+    edge = "x" + " ".join(words(rnd, 20, 5000))[:38]  # 39 characters meet 40
+    texts += [edge, edge[:20] + "#" + edge[20:]]
+    expected |= {len(texts) - 2: "", len(texts) - 1: "0"}
+    got = {r.doc_id: r.dropped for r in lines.duplicate_lines(spark.createDataFrame(rows_of(texts), COLUMNS)).collect()}
+    assert got == expected
+
+
+def test_wide_bands():
+    rnd = random.Random(5)
+    for _ in range(200):
+        a = "".join(rnd.choice("abcd") for _ in range(rnd.randint(30, 90)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 16)):
+            q = rnd.randrange(len(b))
+            b[q : q + rnd.randrange(2)] = rnd.choice(["", "a", "b"])
+        b, edits = "".join(b), rnd.randint(4, 12)
+        assert lines.within(a, b, edits) == (edit_distance(a, b) <= edits)
+
+
 def test_repeated_rows_are_one_document(spark):
     line = "a line of enough letters to be compared"
     df = spark.createDataFrame([(1, line), (1, line), (2, line + "\nother words in the second line")], "doc_id long, text string")

@@ -1,15 +1,19 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines within ``EDITS`` edits of each other belong together.  A line is split into one segment more than that, so that
-a similar line holds one of the segments whole, at a place that the lengths bound.  Each line indexes its segments under
-(length, segment number, segment) and probes, for every length that its partners may have, the substrings at the places
-where their segments can be.  Equal keys make candidates; banded bit-parallel edit distance decides (``near``).  Of all
-occurrences of a class of lines, the first one by (doc_id, line number) stays.
-
-Defined results: lines are what is between line feeds, compared without surrounding white space.  Lines shorter than
-``SHORTEST`` characters are kept and compared with nothing; those shorter than ``SHORTEST_NEAR`` only fall together if
-equal.  Null and empty texts have nothing to drop.  Rows that repeat both id and text get the same result, as one
-document.  Null ids sort first.  Other columns pass through ``dedup_lines``; ``duplicate_lines`` has its own.
+Lines within ``allowed`` edits of each other belong together: none below ``SHORTEST_NEAR`` characters, one below
+``SHORTEST_TWO``, then ``EDITS``, and one in ``SHARE`` characters from ``SHORTEST_SHARE``.  A line is split into one segment
+more than the edits, so that a similar line holds one of the segments whole, at a place that the lengths bound.  Each
+line indexes its segments under (length, segment number, segment) and probes, for every length that its partners may
+have, the substrings at the places where their segments can be.  This finds every pair within ``EDITS``.  The probes
+grow with the cube of the edits, so lines that may differ by more have MinHash keys of their character n-grams besides:
+a pair at the full budget, its edits far apart, shares one with a chance of 0.88, nearer pairs with more.  Equal keys
+make candidates; banded bit-parallel edit distance decides (``near``).  Of all occurrences of a class of lines, the
+first one by (doc_id, line number) stays.
+
+Defined results: lines are what is between line feeds, compared without surrounding white space; the shorter of two
+lines sets the edits allowed.  Equal lines fall together at any length; blank lines are kept.  Null and empty texts have
+nothing to drop.  Rows that repeat both id and text get the same result, as one document.  Null ids sort first.  Other
+columns pass through ``dedup_lines``; ``duplicate_lines`` has its own.
 """
 
 from __future__ import annotations
@@ -25,7 +29,11 @@ from tracewright.session import ship
 from . import near
 from ._frames import BATCH_BYTES, checkpointed, releasing, slices
 
-EDITS, SHORTEST, SHORTEST_NEAR = 2, 10, 48
+EDITS, SHARE = 2, 20
+#: Characters from which lines may differ by one edit, by ``EDITS``, and by one in ``SHARE`` characters.
+SHORTEST_NEAR, SHORTEST_TWO, SHORTEST_SHARE = 16, 40, 80
+#: Characters of an n-gram, one in how many of them is kept, and the trees and depth of their signatures.
+GRAM, SAMPLED, TREES, DEPTH = 6, 4, 24, 4
 #: Characters of lines whose substrings are hashed at once: some 80 bytes of arrays for each.
 KEY_CHARS = 1 << 20
 ODD = 0x9E3779B97F4A7C15
@@ -37,6 +45,13 @@ def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) >> 1
 
 
+def allowed(length: int, edits: int = EDITS) -> int:
+    """The edits by which a line of this length and a longer one may differ."""
+    if length < SHORTEST_TWO:
+        return min(1, edits) if length >= SHORTEST_NEAR else 0
+    return max(edits, length // SHARE) if length >= SHORTEST_SHARE else edits
+
+
 def segment_starts(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(start, length) of each of the edits + 1 segments of lines of the given lengths, the longer segments last."""
     n = edits + 1
@@ -95,6 +110,51 @@ def line_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def sketch_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, which line has each): a key a tree from the MinHash values of a line's n-grams."""
+    hashes = Hashes(lines)
+    count = np.maximum(hashes.length - GRAM + 1, 0)
+    owner = np.repeat(np.arange(len(lines)), count)
+    grams = hashes.of(owner, np.arange(owner.size) - np.repeat(np.cumsum(count) - count, count), GRAM)
+    kept = grams % np.uint64(SAMPLED) == 0
+    owner, grams = owner[kept], (grams[kept] >> np.uint64(32)).astype(np.uint32)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    if not first.size:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    numbers = (_mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(ODD)) >> np.uint64(16)).astype(np.uint32)
+    keys = []
+    for tree in range(TREES):
+        key = np.full(first.size, np.uint64(tree + 1))
+        for k in range(tree * DEPTH, (tree + 1) * DEPTH):
+            least = np.minimum.reduceat((grams ^ numbers[2 * k]) * (numbers[2 * k + 1] | np.uint32(1)), first)
+            key = _mix(key * np.uint64(ODD) + least)
+        keys.append(key)
+    return np.concatenate(keys), np.tile(owner[first], TREES)
+
+
+def join_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, which line has each) of all that lines of any length index and probe."""
+    length = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    few = min(1, edits)
+    kinds = [
+        # a partner's greater length still meets the short line's single edit
+        ((length >= SHORTEST_NEAR) & (length < SHORTEST_TWO + few), lambda part: line_keys(part, few)),
+        (length >= SHORTEST_TWO, lambda part: line_keys(part, edits)),
+        (length >= SHORTEST_SHARE, sketch_keys),
+    ]
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for wanted, make in kinds:
+        at = np.flatnonzero(wanted)
+        found, of = make([lines[i] for i in at])
+        keys.append(found)
+        owners.append(at[of])
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def similar(a: str, b: str, edits: int = EDITS) -> bool:
+    return within(a, b, allowed(min(len(a), len(b)), edits))
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most ``edits``; a band of 2 * edits + 1 rows, one bit each, follows the diagonal."""
     if len(a) > len(b):
@@ -132,7 +192,7 @@ def _lines(text: str | None):
     """(number, text without surrounding white space) of the lines that are compared."""
     for k, line in enumerate((text or "").split("\n")):
         line = line.strip()
-        if len(line) >= SHORTEST:
+        if line:
             yield k, line
 
 
@@ -167,7 +227,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def keys(batches):
         for lines in distinct(batches, SHORTEST_NEAR, KEY_CHARS):
-            found, owners = line_keys(list(lines.values()), edits)
+            found, owners = join_keys(list(lines.values()), edits)
             yield near.key_batches(found, np.fromiter(lines, dtype=np.uint64, count=len(lines))[owners], parts)
 
     def contents(batches):
@@ -185,7 +245,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = checkpointed(near.members(docs.mapInArrow(releasing(keys), "part int, blob binary")))
     packed = checkpointed(near.contents(docs.mapInArrow(releasing(contents), "part int, blob binary"), found))
-    _, roots = near.linked(found, packed, lambda raw: raw.decode("utf-8", "surrogatepass"), lambda a, b: within(a, b, edits))
+    _, roots = near.linked(found, packed, lambda raw: raw.decode("utf-8", "surrogatepass"), lambda a, b: similar(a, b, edits))
     placed = docs.mapInArrow(releasing(occurrences), "item long, doc_id long, row_key long, line int").join(roots.withColumnRenamed("id", "item"), "item", "left")
     placed = checkpointed(placed.select(F.coalesce("root", "item").alias("root"), "doc_id", "row_key", "line"))
     place = F.struct("doc_id", "row_key", "line")
