@@ -79,6 +79,19 @@ def test_forest_join_equals_brute_force(spark, copies):
     assert kept == set(roots(pairs, sets).values())
 
 
+@pytest.mark.parametrize("chunk", [4, near.CHUNK])
+def test_every_link_of_a_class_counts(spark, monkeypatch, copies, chunk):
+    monkeypatch.setattr(near, "CHUNK", chunk)
+    rnd = random.Random(3)
+    base = words(rnd, 150)
+    texts = copies + [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in range(5, 145, 7)] + [" ".join(base)] * 2
+    memory = jaccard._Words()
+    sets = {t: set(jaccard.shingles(t, memory).tolist()) for t in texts if t and t.strip()}
+    links = Counter(x for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for x in (a, b))
+    got = jaccard.forest_join(spark.createDataFrame(rows_of(texts), COLUMNS)).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: links[t] for i, t in enumerate(texts)}
+
+
 def test_forest_join_of_nothing(spark):
     assert jaccard.forest_join(spark.createDataFrame([], COLUMNS)).count() == 0
     none = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")

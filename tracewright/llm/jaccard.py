@@ -95,8 +95,8 @@ def items(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_and_text(df, id_col, text_col).select("doc_id", item.alias("item"), "text")
 
 
-def forest_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links): each document's class, and the verified links that its text has."""
+def forest_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, count: bool = True) -> DataFrame:
+    """(doc_id, class_id, n_links): each document's class, and with how many other texts its text is linked; without ``count``, null."""
     ship(df.sparkSession)
     named = items(df, id_col, text_col)
     docs = named.filter("item IS NOT NULL").select("item", "text")
@@ -141,15 +141,19 @@ def forest_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         same = np.intersect1d(a, b, assume_unique=True).size
         return same >= threshold * (a.size + b.size - same)
 
-    links, roots = near.linked(found, packed, prepare, similar)
-    degree = links.select(F.col("a").alias("item")).union(links.select("b")).groupBy("item").agg(F.count("*").alias("n_links"))
-    placed = named.select("doc_id", "item").join(roots.withColumnRenamed("id", "item"), "item", "left").join(degree, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    _, roots = near.linked(found, packed, prepare, similar)
+    placed = named.select("doc_id", "item").join(roots.withColumnRenamed("id", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
+    if count:
+        degree = near.link_counts(found, roots, packed, prepare, similar).select(F.col("id").alias("item"), F.col("n").alias("n_links"))
+        placed = placed.join(degree, "item", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    else:
+        placed = placed.withColumn("n_links", F.lit(None).cast("long"))
     placed = checkpointed(placed.select("doc_id", "root", "n_links"))
     smallest = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return placed.join(smallest, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return placed.join(smallest, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose id names their class: one document of each group, the one with the smallest id."""
-    dropped = forest_join(df, id_col, text_col).filter("class_id != doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
+    dropped = forest_join(df, id_col, text_col, count=False).filter("class_id != doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
     return df.join(dropped, F.col(id_col) == F.col("dropped_id"), "left_anti")

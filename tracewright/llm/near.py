@@ -4,7 +4,8 @@ Keys are made in NumPy and go to the shuffle as packed blobs, so that a candidat
 In each bucket every member is paired with the bucket's leader, not with every other member.  Verified pairs are links;
 links form classes.  Buckets whose members then lie in several classes have every pair across classes verified too.
 So two items that share a bucket end in one class if they, or a chain of links, are similar, though no bucket emits all
-its pairs: none is left unverified but those whose ends are in one class already.
+its pairs: none is left unverified but those whose ends are in one class already.  Those are verified by ``link_counts``,
+in blocks of two chunks of a class, which hand on counts and no pairs.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from ._frames import checkpointed, release, releasing
 
 KEYS = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
+#: Items of a class that a chunk has about, and two chunks a block.
+CHUNK = 256
 MEMBERS = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("leader", pa.int64())])
 
 
@@ -173,3 +176,40 @@ def linked(found: DataFrame, packed: DataFrame, prepare, similar) -> tuple[DataF
     more = checkpointed(verified(rest, packed, prepare, similar))
     everything = links.union(more)
     return everything, classes(everything)
+
+
+def link_counts(found: DataFrame, roots: DataFrame, packed: DataFrame, prepare, similar) -> DataFrame:
+    """(id, n): with how many other items of its class that share a bucket with it each item is similar."""
+    parts = partitions(found)
+    # a class's smallest item has no row of its own among the roots
+    everyone = roots.union(roots.select(F.col("root").alias("id"), "root")).distinct()
+    items = checkpointed(found.join(everyone, "id").groupBy("root", "id").agg(F.collect_list("bucket").alias("buckets")))
+    sizes = items.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = items.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(packed, "id")
+    # each item meets every chunk of its class, its own one too; small classes share blocks
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    met = dealt.select("root", "id", "buckets", "packed", "chunk", "chunks", other)
+    block = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("root"), F.lit(parts))).otherwise(F.col("root")).alias("block")
+    met = met.select((F.col("chunks") == 1).alias("small"), block, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "root", "id", "chunk", "buckets", "packed")
+
+    def count(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        apart = table["low"][0].as_py() != table["high"][0].as_py()
+        ids, root, chunk = (table[c].to_pylist() for c in ("id", "root", "chunk"))
+        n, members, known = [0] * len(ids), {}, []
+        for i, (buckets, blob) in enumerate(zip(table["buckets"], table["packed"], strict=True)):
+            known.append(prepare(unpack(blob.as_py())))
+            near = set()
+            for bucket in buckets.as_py():
+                earlier = members.setdefault((root[i], bucket), [])
+                near.update(earlier)
+                earlier.append(i)
+            for j in near:
+                if (not apart or chunk[i] != chunk[j]) and similar(known[i], known[j]):
+                    n[i] += 1
+                    n[j] += 1
+        release()
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "n"])
+
+    counted = met.groupBy("small", "block", "low", "high").applyInArrow(count, "id long, n long")
+    return counted.groupBy("id").agg(F.sum("n").alias("n"))
