@@ -46,6 +46,19 @@ def test_strong_components_and_tiers(spark, seed):
         assert tiers[a] == tiers[b] if same else tiers[a] > tiers[b]
 
 
+def test_loops_go_to_their_end_or_raise(spark):
+    rings = [(a + i, a + (i + 1) % 2) for a in (0, 2, 4) for i in (0, 1)] + [(1, 2), (3, 4)]
+    edges = edges_of(spark, rings)
+    assert {r.node: r.component for r in graph.strong_components(edges).collect()} == strong_by_hand(rings)
+    with pytest.raises(RuntimeError, match="left after 1 round"):
+        graph.strong_components(edges, rounds=1)
+    path = edges_of(spark, [(n, n + 1) for n in range(103)])
+    none = spark.createDataFrame([], "node long, component long")
+    assert {r.node: r.tier for r in graph.tiers(path, none).collect()} == {n: 103 - n for n in range(104)}
+    with pytest.raises(RuntimeError, match="still rise"):
+        graph.tiers(path, none, rounds=3)
+
+
 def test_pagerank_sums_to_one_whatever_the_order(spark):
     rnd = random.Random(3)
     pairs = [(rnd.randrange(12), rnd.randrange(12)) for _ in range(40)]

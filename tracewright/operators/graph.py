@@ -6,6 +6,7 @@ Frontiers, labels and ranks are tables; nothing of a graph's size comes to the d
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -153,16 +154,16 @@ def components(edges: DataFrame) -> DataFrame:
     return found.union(found.select(F.col("component").alias("node"), "component").distinct())
 
 
-def strong_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) of strongly connected components of two nodes or more, named by their smallest node.
 
     Nodes without predecessors or successors are trimmed until none is left; then every node takes the smallest label
     that reaches it, and each label's root collects, backwards, the nodes of its own label.  Found components leave the
-    graph and the rest goes round again.
+    graph and the rest goes round again, until nothing is left; ``rounds`` are a limit that raises.
     """
     left = checkpointed(edges.filter("src != dst").select("src", "dst").distinct())
     found = None
-    for _ in range(rounds):
+    for done in count():
         size = left.count()
         while size:
             heads, tails = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
@@ -174,6 +175,8 @@ def strong_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             size = now
         if not size:
             break
+        if done == rounds:
+            raise RuntimeError(f"strong components: {size} edges are left after {rounds} rounds")
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
         forward = _least_label(nodes, left)
         inside = left.join(forward.select(F.col("node").alias("src"), F.col("label").alias("l")), "src").join(forward.select(F.col("node").alias("dst"), "label"), "dst").filter("l = label").select("src", "dst", "label")
@@ -187,7 +190,8 @@ def strong_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
                 break
             members = checkpointed(members.unionByName(frontier))
         sized = members.join(members.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1"), "label").select("node", F.col("label").alias("component"))
-        found = sized if found is None else found.unionByName(sized)
+        # one table however many rounds there are
+        found = checkpointed(sized if found is None else found.unionByName(sized))
         gone = members.select("node")
         left = checkpointed(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
     return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
@@ -209,19 +213,21 @@ def cycle_edges(edges: DataFrame, strong: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").filter("ca = cb").select("src", "dst")
 
 
-def tiers(edges: DataFrame, strong: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, tier): the longest path below each node, where strongly connected nodes are one."""
+def tiers(edges: DataFrame, strong: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, tier): the longest path below each node, where strongly connected nodes are one; ``rounds`` are a limit that raises."""
     pairs = edges.select("src", "dst").distinct()
     names = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct().join(strong, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
     names = checkpointed(names)
     folded = checkpointed(pairs.join(names.withColumnsRenamed({"node": "src", "c": "a"}), "src").join(names.withColumnsRenamed({"node": "dst", "c": "b"}), "dst").filter("a != b").select("a", "b").distinct())
     level = names.select("c").distinct().withColumn("tier", F.lit(0))
-    for _ in range(rounds):
+    for done in count():
         above = folded.join(level.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c")).agg((F.max("tier") + 1).alias("t"))
         new = checkpointed(level.join(above, "c", "left").select("c", F.greatest("tier", F.coalesce("t", F.lit(0))).alias("tier"), (F.col("t") > F.col("tier")).alias("moved")))
         level = new.drop("moved")
         if new.filter("moved").isEmpty():
             break
+        if done == rounds:
+            raise RuntimeError(f"tiers still rise after {rounds} rounds")
     return names.join(level, "c").select("node", "tier")
 
 
