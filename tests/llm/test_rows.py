@@ -125,6 +125,25 @@ def test_novelty_tells_random_from_known(spark):
     assert rows[1].n_novel == 1 and rows[2].n_novel == 0 and rows[3].spans == rows[4].spans == "" and (rows[5].n_assign, rows[5].n_access) == (1, 1)
 
 
+def test_frequent_identifiers_stay_in_the_dictionary():
+    names = [f"identifier_number_{i:05d}" for i in range(4000)]  # the most frequent last
+    words = secrets.Novelty(names).words
+    assert len(words) <= secrets.DICTIONARY and words.split()[-1].decode() == names[-1] and words.split()[0].decode() in names
+
+
+def test_candidates_before_a_word_and_short_ones():
+    text = "x9Kq2ZbT7w is the secret\nelsewhere y8Lr3YcU6v\n" + "w " * 60 + "p4Ns5XdV1u, then the credential " + "w " * 60 + "q5Mt6WeR2s"
+    assert [text[a:b] for a, b in secrets.candidates(text, [])] == ["x9Kq2ZbT7w", "y8Lr3YcU6v", "p4Ns5XdV1u", "q5Mt6WeR2s"]
+    assert secrets.candidates("auth_token_2 of api_key_17", []) == []
+    secrets.candidates("token" * 50_000, []), secrets.candidates("token\n" * 50_000, [])
+
+
+def test_identifiers_beyond_the_dictionary_are_known(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "IDENTIFIERS", 0)
+    df = spark.createDataFrame([(1, "secret Xq7_Zk29_Lw4Ty8"), (2, "Xq7_Zk29_Lw4Ty8 = 1\nXq7_Zk29_Lw4Ty8 = 2"), (3, "secret Yq8_Zk38_Lw5Tz9")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_novel, r.spans) for r in secrets.find_secrets(df).collect()} == {1: (0, ""), 2: (0, ""), 3: (1, "novel:7:22")}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     for df in (media.media_features(none), tokens.token_counts(none, queries.tokenizer_path()), pii.find_personal_data(none), secrets.find_secrets(none)):
