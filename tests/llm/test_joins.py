@@ -266,6 +266,19 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(good) == len(good) and sum(bad) <= 0.25 * len(bad)
 
 
+def test_thresholds_do_not_jump_with_the_sample(spark, monkeypatch):
+    """Languages of more and of fewer held-out documents than ENOUGH get quantiles that are drawn together, and no wider tolerance."""
+    scores = [(i, la, 0 if i % 2 else 2, 1000, 1000.0 * (level + i % 7 / 100)) for la, n, level in (("a", 400, 1.0), ("b", 42, 1.3), ("c", 38, 1.3), ("d", 2, 1.3)) for i in range(n)]
+    table = spark.createDataFrame(scores, "doc_id long, lang string, mark int, n_symbols long, nll double")
+    monkeypatch.setattr(quality, "scored", lambda *_: table)
+    rows = quality.classify(table, table).collect()
+    cut = {r.lang: r.threshold for r in rows}
+    allowance = 1.5 ** (20 / (20 + 241))
+    assert cut["a"] <= np.exp(1.09) * allowance and abs(cut["b"] / cut["c"] - 1) < 0.01
+    assert max(cut.values()) <= np.exp(1.37) * allowance
+    assert all(r.keep for r in rows)
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None, None, "a"), (2, "", "en", "b"), (None, "some text", "en", "c"), (4, "z" * 5000, "xx", "d")], "doc_id long, text string, lang string, keep string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -5,9 +5,10 @@
 2. Each block of documents asks the shards for the probabilities of its distinct 4-grams, and gets them back by block;
    questions of one shard are salted over several copies of its counts.  Documents meet their block's answers, and sum
    them to their perplexity.
-3. For each language a quantile of the held-out documents' perplexities, times a tolerance, is the threshold; a language
-   with few held-out documents takes the quantile over all languages and a wider tolerance.  Short texts are drawn towards the language's
-   mean by ``PRIOR`` symbols' worth of it.
+3. For each language a quantile of the held-out documents' perplexities is the threshold, drawn towards the quantile over
+   all languages by ``ENOUGH`` documents' worth of it.  The quantile of a small sample is too low: all thresholds are raised
+   by an allowance that falls from ``TOLERANCE`` to 1 as held-out documents become many, at the same rate for all languages.
+   Short texts are drawn towards the language's mean by ``PRIOR`` symbols' worth of it.
 
 Labels are broadcast below ``BROADCAST_ROWS`` rows and joined by shuffle beyond.  The discounts and lowest-order counts
 go to the driver: at most ``SYMBOLS + 12`` numbers a language.
@@ -43,8 +44,8 @@ HELD_GRAMS = 1_000_000
 #: All trusted text makes one model, so that mixed or mistagged languages are no fault of a text; thresholds are by language.
 MODEL = 0
 QUANTILE, TOLERANCE, PRIOR = 0.99, 1.5, 60
-#: Held-out documents from which a language has a quantile of its own, and the tolerance for languages of fewer.
-ENOUGH, FEW_TOLERANCE = 20, 2.0
+#: Held-out documents at which a language's own figures weigh half, and at which half of the tolerance is left.
+ENOUGH = 20
 RESULTS = ("n_symbols", "perplexity", "threshold", "keep")
 
 
@@ -251,19 +252,22 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     both = held.select("*", F.lit(True).alias("own")).unionByName(held.select(F.lit("").alias("held_lang"), "n_symbols", "nll", F.lit(False).alias("no_lang"), F.lit(False).alias("own")))
     keys = ["own", "no_lang", "held_lang"]
     means = both.groupBy(*keys).agg(F.round(mean, 6).alias("mean"), F.count("*").alias("held"))
+    all_mean = means.filter("NOT own").select("mean").scalar()
+    share = F.when(F.col("own"), F.col("held") / (F.col("held") + ENOUGH)).otherwise(1.0)
+    means = means.withColumn("share", share).withColumn("mean", F.col("share") * F.col("mean") + (1 - F.col("share")) * all_mean)
     # the quantile over steps of a thousandth: exact on that grid, and its table has a bounded number of rows
     step = F.ceil((F.col("nll") + PRIOR * F.col("mean")) / (F.col("n_symbols") + PRIOR) * 1000)
-    bins = both.join(means, keys).groupBy(*keys, "mean", "held", step.alias("step")).agg(F.count("*").alias("n"))
+    bins = both.join(means, keys).groupBy(*keys, "mean", "held", "share", step.alias("step")).agg(F.count("*").alias("n"))
     rising = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = bins.withColumn("upto", F.sum("n").over(rising)).filter(F.col("upto") >= QUANTILE * F.col("held")).groupBy(*keys, "mean", "held").agg((F.min("step") / 1000.0).alias("cut"))
-    own = cuts.filter(f"own AND held >= {ENOUGH}").select("no_lang", "held_lang", F.col("mean").alias("own_mean"), F.col("cut").alias("own_cut"))
+    cuts = bins.withColumn("upto", F.sum("n").over(rising)).filter(F.col("upto") >= QUANTILE * F.col("held")).groupBy(*keys, "mean", "held", "share").agg((F.min("step") / 1000.0).alias("cut"))
     pooled = cuts.filter("NOT own")
-    all_mean, all_cut = pooled.select("mean").scalar(), pooled.select("cut").scalar()
+    all_cut, all_held = pooled.select("cut").scalar(), pooled.select("held").scalar()
+    own = cuts.filter("own").select("no_lang", "held_lang", F.col("mean").alias("own_mean"), F.col("cut").alias("own_cut"), "share")
     named = scores.withColumn("no_lang", F.col(la).isNull()).withColumn("held_lang", F.coalesce(F.col(la).cast("string"), F.lit("")))
-    tolerance = F.when(F.col("own_cut").isNull(), FEW_TOLERANCE).otherwise(TOLERANCE)
-    joined = named.join(own, ["no_lang", "held_lang"], "left").withColumn("tolerance", tolerance).withColumn("own_mean", F.coalesce("own_mean", all_mean)).withColumn("own_cut", F.coalesce("own_cut", all_cut))
+    joined = named.join(own, ["no_lang", "held_lang"], "left").withColumn("own_mean", F.coalesce("own_mean", all_mean))
+    joined = joined.withColumn("own_cut", F.coalesce(F.col("share") * F.col("own_cut") + (1 - F.col("share")) * all_cut, all_cut)).withColumn("all_held", all_held)
     drawn = F.when(F.col("n_symbols") > 0, (F.col("nll") + PRIOR * F.coalesce("own_mean", F.lit(0.0))) / (F.col("n_symbols") + PRIOR))
-    threshold = F.exp("own_cut") * F.col("tolerance")
+    threshold = F.exp("own_cut") * F.pow(F.lit(TOLERANCE), ENOUGH / (ENOUGH + F.col("all_held")))
     carried = [c for c in scores.columns if c not in ("n_symbols", "nll", "mark")]
     return joined.select(
         *carried, "n_symbols", F.round(F.exp(drawn), 6).alias("perplexity"), F.round(threshold, 6).alias("threshold"), (F.coalesce(F.exp(drawn) <= threshold, F.lit(True))).alias("keep")
