@@ -99,6 +99,22 @@ def test_knapsack_beats_greedy(spark):
     assert {r.item for r in selection.greedy_fit(df, ["q"], "item", "cost", "score", 10).collect()} == {1}
 
 
+def test_greedy_fit_tries_every_item(spark):
+    rnd = random.Random(7)
+    rows = [(q, i, rnd.randrange(2, 40), rnd.random()) for q in range(3) for i in range(5000)] + [(3, 1, 500, 1.0), (3, 2, None, 1.0), (3, 3, 0, 0.5)]
+    rows += [(4, i, 90, 1.0) for i in range(4000)] + [(4, 9999, 10, 0.1)]
+    got = {}
+    for r in selection.greedy_fit(spark.createDataFrame(rows, "q int, item int, cost int, score double"), ["q"], "item", "cost", "score", 100).collect():
+        got.setdefault(r.q, {})[r.item] = r.used
+    for q in range(5):
+        used, want = 0, {}
+        for _, i, c, s in sorted((r for r in rows if r[0] == q and r[2] is not None), key=lambda r: (-r[3], r[1])):
+            if used + c <= 100:
+                used += c
+                want[i] = used
+        assert got[q] == want
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_updates_equal_a_full_build(spark, seed):
     rnd = random.Random(seed)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top_k(df: DataFrame, k: int, score: str, *ties: str) -> DataFrame:
@@ -14,26 +17,43 @@ def top_k(df: DataFrame, k: int, score: str, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(score), *ties).limit(k)
 
 
-def greedy_fit(df: DataFrame, keys: list[str], item: str, cost: str, score: str, budget: int, reserved: int = 0, shortlist: int = 2000) -> DataFrame:
-    """Items taken in score order while they fit; one that doesn't fit is passed over.
+def greedy_fit(df: DataFrame, keys: list[str], item: str, cost: str, score: str, budget: int, reserved: int = 0) -> DataFrame:
+    """(keys, item, used): items taken in score order while they fit; one that doesn't fit is passed over.
 
-    The fold is over each key's ``shortlist`` best items that could fit at all, which bounds what one task gathers: an
-    item below so many better ones is only reached if they leave room, and then it would be the cheapest ones' turn.
+    A key's rows stream by in order, batch after batch, and only what is spent so far is remembered; so every item is
+    tried, and no key's rows are held together.  Items without a cost are left out; costs are not negative.
     """
     able = df.filter(F.col(cost) <= budget - reserved)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), item))
-    near = able.withColumn("_p", place).filter(F.col("_p") <= shortlist)
-    row = F.struct(F.col("_p").alias("p"), F.col(item).alias("item"), F.col(cost).cast("long").alias("cost"))
-    kind = dict(df.dtypes)[item]
-    start = F.struct(F.lit(reserved).cast("long").alias("used"), F.array().cast(f"array<struct<item:{kind},used:bigint>>").alias("taken"))
-
-    def step(acc, x):
-        used = acc["used"] + x["cost"]
-        with_x = F.struct(used.alias("used"), F.concat(acc["taken"], F.array(F.struct(x["item"].alias("item"), used.alias("used")))).alias("taken"))
-        return F.when(used <= budget, with_x).otherwise(acc)
-
-    folded = near.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step, lambda acc: acc["taken"]).alias("t"))
-    return folded.select(*keys, F.explode("t").alias("r")).select(*keys, F.col("r.item").alias(item), F.col("r.used").alias("used"))
+    rows = able.select(*keys, item, F.col(cost).cast("long").alias("_cost"), place.alias("_place"))
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in (*keys, item)), T.StructField("used", T.LongType())])
+
+    def run(batches):
+        used = reserved
+        for batch in batches:
+            costs, places = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+            new = np.flatnonzero(places == 1)
+            taken, spent = [], []
+            for start, end in zip([0, *new], [*new, costs.size], strict=True):
+                if start < end and places[start] == 1:
+                    used = reserved
+                at = start
+                while at < end:
+                    fits = at + np.flatnonzero(costs[at:end] <= budget - used)
+                    if not fits.size:
+                        break
+                    # from the first one that fits, as many as fit one after another
+                    at = int(fits[0])
+                    sums = used + np.cumsum(costs[at:end])
+                    n = int(np.searchsorted(sums, budget, side="right"))
+                    taken.append(np.arange(at, at + n))
+                    spent.append(sums[:n])
+                    used, at = int(sums[n - 1]), at + n + 1
+            if taken:
+                kept = batch.take(pa.array(np.concatenate(taken)))
+                yield pa.RecordBatch.from_arrays([*kept.columns[:-2], pa.array(np.concatenate(spent), pa.int64())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def knapsack(df: DataFrame, key: str, item: str, group: str, cost: str, score: str, budget: int, candidates: int = 12, most: int = 6, per_group: int = 2) -> DataFrame:
