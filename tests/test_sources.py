@@ -113,12 +113,17 @@ def test_config_and_dependencies(spark, tree):
     assert {r.dependency for r in files.dependencies(text).collect()} == {"flask", "numpy", "react"}
 
 
-def test_log_and_diff(spark):
+def test_log_and_diff(spark, monkeypatch):
     log = "\x1eaaa\x1fann\x1f100\n\nx.py\ny.py\n\x1ebbb\x1fbob\x1f200\n\nx.py\n\x1ebroken\n"
     assert {tuple(r) for r in logs.commits(spark, log).collect()} == {("aaa", "ann", 100, "x.py"), ("aaa", "ann", 100, "y.py"), ("bbb", "bob", 200, "x.py")}
-    diff = ["diff --git a/x b/x", "--- a/x", "+++ b/x", "@@ -1,2 +1,3 @@ f", "+a", "@@ -9 +10,0 @@", "--- a/z", "+++ b/z", "@@ -0,0 +1 @@"]
-    got = logs.diff_hunks(spark.createDataFrame(list(enumerate(diff)), "n long, line string")).collect()
-    assert {tuple(r) for r in got} == {("x", 1, 2, 1, 3), ("x", 9, 9, 10, 9), ("z", 0, -1, 1, 1)}
+    diff = ["diff --git a/x b/x", "--- a/x", "+++ b/x", "@@ -1,2 +1,3 @@ f", "+a", "--- a/none", "@@ -9 +10,0 @@", "--- a/z", "+++ b/z", "@@ -0,0 +1 @@"]
+    diff += ["--- a/gone", "+++ /dev/null", "@@ -1,4 +0,0 @@", "--- /dev/null", '+++ "b/t\\tb.py"', "@@ -0,0 +5,2 @@", "--- nothing", "+++ known", "@@ -1 +1 @@"]
+    want = {("x", "x", 1, 2, 1, 3), ("x", "x", 9, 9, 10, 9), ("z", "z", 0, -1, 1, 1), ("gone", None, 1, 4, 0, -1), (None, "t\tb.py", 0, -1, 5, 6), (None, None, 1, 1, 1, 1)}
+    rows = spark.createDataFrame(list(enumerate(diff)), "n long, line string")
+    for block in (logs.DIFF_BLOCK, 4):
+        monkeypatch.setattr(logs, "DIFF_BLOCK", block)
+        assert {tuple(r) for r in logs.diff_hunks(rows).collect()} == want
+    assert {tuple(r) for r in logs.diff_ranges(rows).collect()} == {("x", 1, 2), ("x", 1, 3), ("x", 9, 9), ("x", 10, 10), ("z", 1, 1), ("gone", 1, 4), ("t\tb.py", 5, 6)}
 
 
 def test_coverage(spark, tmp_path):
@@ -126,6 +131,8 @@ def test_coverage(spark, tmp_path):
     (tmp_path / "c.xml").write_text('<coverage><packages><package><classes><class filename="app.py" line-rate="0.75"/></classes></package></packages></coverage>')
     indexed = spark.createDataFrame([("src/app.py",), ("lib/util.py",), ("old/util.py",)], "path string")
     assert {tuple(r) for r in logs.match_suffix(logs.coverage_json(spark, str(tmp_path / "c.json")), indexed).collect()} == {("src/app.py", 0.5)}
+    report = spark.createDataFrame([("/home/me/src/app.py", 0.1), (".\\lib\\util.py", 0.2), ("/x/util.py", 0.3), ("none.py", 0.4)], "file string, ratio double")
+    assert {tuple(r) for r in logs.match_suffix(report, indexed).collect()} == {("src/app.py", 0.1), ("lib/util.py", 0.2)}
     assert {tuple(r) for r in logs.match_suffix(logs.coverage_xml(spark, str(tmp_path / "c.xml")), indexed).collect()} == {("src/app.py", 0.75)}
 
 

@@ -149,7 +149,7 @@ def parse_python(path: str, text: str) -> dict:
     empty = {"symbols": [], "imports": [], "env_reads": [], "smells": [], "all_names": None, "has_main_guard": False}
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError) as e:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return empty | {"parse_error": f"{type(e).__name__}: {e}"}
     symbols: dict[str, dict] = {}
 
@@ -166,8 +166,11 @@ def parse_python(path: str, text: str) -> dict:
                     "calls": calls(n), "parent": parent, "complexity": 1 if is_class else complexity(n), "fields": fields, "is_async": isinstance(n, ast.AsyncFunctionDef), "local_types": local_types(n),
                 }
                 visit(n.body, name, is_class)
-            elif isinstance(n, (ast.If, ast.Try, ast.With)):
-                visit([*n.body, *getattr(n, "orelse", [])], parent, in_class)
+            elif not isinstance(n, ast.expr):  # definitions inside any other statement: branches, loops, handlers, cases
+                blocks = [getattr(n, f, []) for f in ("body", "orelse", "finalbody")]
+                blocks += [x.body for x in (*getattr(n, "handlers", ()), *getattr(n, "cases", ()))]
+                for block in blocks:
+                    visit([x for x in block if isinstance(x, ast.stmt)], parent, in_class)
 
     visit(tree.body, None, False)
     imports, env, names = [], [], None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What a log is printed with: records by 0x1E, fields by 0x1F, then one file a line.
@@ -32,23 +32,52 @@ def commits(spark: SparkSession, text: str) -> DataFrame:
     return whole.select(head[0].alias("sha"), head[1].alias("author"), head[2].cast("long").alias("ts"), F.explode(F.transform(body, F.trim)).alias("file")).distinct()
 
 
+#: Lines of a diff between which its file headers are carried in one task.
+DIFF_BLOCK = 65_536
+
+
+def diff_path(value: Column, prefix: str) -> Column:
+    """The path of a ``---`` or ``+++`` line without its prefix; quoted names are unquoted; null for /dev/null and what is neither."""
+    plain = F.when(value.startswith('"'), F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")[0]).otherwise(value)
+    return F.when(plain.startswith(prefix), F.substring(plain, F.lit(len(prefix) + 1), F.length(plain)))
+
+
 def diff_hunks(lines: DataFrame) -> DataFrame:
-    """(file, old_lo, old_hi, lo, hi) of a unified diff's (n, line) rows; an empty side has hi below lo.
+    """(old_file, file, old_lo, old_hi, lo, hi) of a unified diff's (n, line) rows; an empty side has hi below lo.
 
-    The file of a hunk is the last one named before it.
+    Files are those of the last ``---`` and ``+++`` lines before a hunk; the side that does not exist is null.  Headers are carried
+    within blocks of lines, and from block to block.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    named = F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 4096)).when(F.col("line").startswith("+++ /dev/null"), F.lit("/dev/null"))
-    marks = lines.filter(F.col("line").rlike(r"^(\+\+\+ |@@ )"))
-    hunks = marks.withColumn("file", F.last(named, ignorenulls=True).over(order)).filter(F.col("line").startswith("@@ "))
+    body = F.regexp_replace(F.substring("line", F.lit(5), F.length("line")), r"\r$", "")
+    header = F.when(F.col("line").startswith("--- "), F.struct(diff_path(body, "a/").alias("path")))
+    named = F.when(F.col("line").startswith("+++ "), F.struct(diff_path(body, "b/").alias("path")))
+    marks = lines.filter(F.col("line").rlike(r"^(--- |\+\+\+ |@@ )")).select("n", "line", F.expr(f"n div {DIFF_BLOCK}").alias("block"), header.alias("old"), named.alias("new"))
+    # a removed line may begin like a header: headers come in pairs
+    pair = Window.partitionBy("block").orderBy("n")
+    marks = marks.withColumn("paired", F.coalesce(F.lead("line").over(pair).startswith("+++ "), F.lit(True)) & F.col("old").isNotNull() | F.coalesce(F.lag("line").over(pair).startswith("--- "), F.lit(True)) & F.col("new").isNotNull())
+    marks = marks.withColumn("old", F.when(F.col("paired"), F.col("old"))).withColumn("new", F.when(F.col("paired"), F.col("new")))
+    upto = pair.rowsBetween(Window.unboundedPreceding, 0)
+    last = marks.groupBy("block").agg(F.max_by("old", F.when(F.col("old").isNotNull(), F.col("n"))).alias("last_old"), F.max_by("new", F.when(F.col("new").isNotNull(), F.col("n"))).alias("last_new"))
+    before = Window.partitionBy().orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    carried = last.select("block", F.last("last_old", ignorenulls=True).over(before).alias("last_old"), F.last("last_new", ignorenulls=True).over(before).alias("last_new"))
+    known = marks.withColumn("o", F.last("old", ignorenulls=True).over(upto)).withColumn("f", F.last("new", ignorenulls=True).over(upto)).filter(F.col("line").startswith("@@ "))
+    hunks = known.join(carried, "block", "left")
     pattern = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
     def number(k: int, default: int):
         text = F.regexp_extract("line", pattern, k)
-        return F.when(text == "", default).otherwise(F.expr(f"try_cast(regexp_extract(line, '{pattern.replace(chr(92), chr(92) * 2)}', {k}) AS INT)"))
+        return F.when(text == "", default).otherwise(text.try_cast("int"))
 
     old, old_n, new, new_n = number(1, 0), number(2, 1), number(3, 0), number(4, 1)
-    return hunks.select("file", old.alias("old_lo"), (old + old_n - 1).alias("old_hi"), new.alias("lo"), (new + new_n - 1).alias("hi"))
+    whole = hunks.filter(F.col("line").rlike(pattern))
+    return whole.select(F.coalesce("o", "last_old")["path"].alias("old_file"), F.coalesce("f", "last_new")["path"].alias("file"), old.alias("old_lo"), (old + old_n - 1).alias("old_hi"), new.alias("lo"), (new + new_n - 1).alias("hi"))
+
+
+def diff_ranges(lines: DataFrame) -> DataFrame:
+    """(file, lo, hi): the lines that hunks touch on either side of a file that exists there; an empty side touches its first line."""
+    hunks = diff_hunks(lines)
+    side = lambda file, lo, hi: hunks.select(F.col(file).alias("file"), F.greatest(F.lit(1), lo).alias("lo"), F.greatest(F.lit(1), F.col(lo), F.col(hi)).alias("hi"))
+    return side("old_file", "old_lo", "old_hi").unionByName(side("file", "lo", "hi")).filter("file IS NOT NULL").distinct()
 
 
 def coverage_json(spark: SparkSession, path: str) -> DataFrame:
@@ -64,11 +93,21 @@ def coverage_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def match_suffix(report: DataFrame, indexed: DataFrame) -> DataFrame:
-    """(path, ratio): report names matched to indexed paths that end in them, where one alone does.
+    """(path, ratio): report names matched to the indexed path that they equal, else to the one that alone ends in them or that they end in.
 
-    Paths make their suffixes, which meet the names by equality.
+    Backslashes are slashes, and leading dots and slashes go.  Paths and names make their suffixes, which meet by equality.
     """
-    parts = F.split("path", "/")
-    suffixes = indexed.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))).alias("file"))
-    both = report.join(suffixes, "file")
-    return both.withColumn("n", F.count("*").over(Window.partitionBy("file"))).filter("n = 1").select("path", "ratio")
+
+    def suffixes(df: DataFrame, name: str, *others: str) -> DataFrame:
+        parts = F.split(name, "/")
+        each = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))
+        return df.select(name, *others, F.explode(each).alias("suffix"))
+
+    plain = F.regexp_replace(F.replace("file", F.lit("\\"), F.lit("/")), r"^[./]+", "")
+    named = report.select(plain.alias("name"), "ratio")
+    longer = suffixes(indexed, "path").join(named, F.col("suffix") == F.col("name")).select("name", "ratio", "path")
+    shorter = suffixes(named, "name", "ratio").join(indexed, F.col("suffix") == F.col("path")).select("name", "ratio", "path")
+    both = longer.unionByName(shorter).distinct()
+    by = Window.partitionBy("name", "ratio")
+    counted = both.withColumn("equal", F.col("name") == F.col("path")).withColumn("n", F.count("*").over(by)).withColumn("some", F.max("equal").over(by))
+    return counted.filter(F.col("equal") | ~F.col("some") & (F.col("n") == 1)).select("path", "ratio")
