@@ -1,7 +1,4 @@
-"""Text columns: tokens, stems, term statistics and ranking formulas.
-
-Words are exploded before they are stemmed, so that stemming runs as a generated expression over rows.
-"""
+"""Text columns: tokens, stems, term statistics and ranking formulas."""
 
 from __future__ import annotations
 
@@ -21,12 +18,21 @@ K1, B = 1.2, 0.75
 WORD = r"[\p{L}\p{N}]+"
 
 
-def stem(word: Column) -> Column:
-    """A light suffix stemmer over lower-case words; words with digits and short words stay."""
+def _cut(word: Column) -> Column:
     cut = word
     for suffix in reversed(SUFFIXES):
         put = F.substring(word, F.lit(1), F.length(word) - len(suffix))
         cut = F.when(word.endswith(suffix) & (F.length(word) - len(suffix) >= 3), F.concat(put, F.lit("y")) if suffix == "ies" else put).otherwise(cut)
+    return cut
+
+
+def stem(word: Column) -> Column:
+    """A light suffix stemmer over lower-case words; words with digits and short words stay."""
+    # as the element of an array of one, the cut word is worked out once
+    return F.transform(F.array(_cut(word)), lambda cut: _stem(word, cut))[0]
+
+
+def _stem(word: Column, cut: Column) -> Column:
     last, before = F.substring(cut, -1, 1), F.substring(cut, F.length(cut) - 1, F.lit(1))
     folded = F.when((F.length(cut) > 3) & (last == before) & ~last.isin("l", "s", "z"), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
     plural = F.when(word.endswith("s") & ~(word.endswith("ss") | word.endswith("us") | word.endswith("is")), F.substring(word, 1, 3)).otherwise(word)
@@ -45,27 +51,46 @@ def stem_sql(w: str) -> str:
     )
 
 
-def tokens(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
-    """(keys, token), one row a token: stems of words, stems of the parts of ASCII camel-case words, whole snake-case names."""
-    text = F.col(text_col)
-    words = df.select(*keys, F.explode(F.regexp_extract_all(F.translate(text, "_", " "), F.lit(f"({WORD})"), F.lit(1))).alias("w"))
+def words(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
+    """(keys, w), one row a word; underscores part words."""
+    return df.select(*keys, F.explode(F.regexp_extract_all(F.translate(F.col(text_col), "_", " "), F.lit(f"({WORD})"), F.lit(1))).alias("w"))
+
+
+def word_tokens(words: DataFrame, *keys: str) -> DataFrame:
+    """(keys, token) of the rows (keys, w): stems of words and of the parts of ASCII camel-case words."""
     low = F.lower("w")
     parts = F.when(F.col("w").rlike("^[A-Za-z0-9]+$") & F.col("w").rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]"), F.regexp_extract_all("w", F.lit(f"({CAMEL})"), F.lit(1)))
     several = F.when(F.size(parts) > 1, F.transform(parts, lambda p: F.lower(p))).otherwise(F.array().cast("array<string>"))
     whole = words.select(*keys, F.explode(F.concat(F.array(low), F.coalesce(several, F.array().cast("array<string>")))).alias("t"))
-    stems = whole.filter(~F.col("t").isin(*STOPWORDS)).select(*keys, stem(F.col("t")).alias("token"))
-    names = df.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(r"([\p{L}_][\p{L}\p{N}_]*)"), F.lit(1))).alias("t"))
-    snake = names.filter(F.col("t").rlike("[^_]_+[^_]")).select(*keys, F.lower("t").alias("token"))
-    return stems.unionByName(snake)
+    return whole.filter(~F.col("t").isin(*STOPWORDS)).select(*keys, stem(F.col("t")).alias("token"))
+
+
+def snake_tokens(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
+    """(keys, token): whole snake-case names."""
+    some = df.filter(F.contains(F.col(text_col), F.lit("_")))
+    names = some.select(*keys, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"([\p{L}_][\p{L}\p{N}_]*)"), F.lit(1))).alias("t"))
+    return names.filter(F.col("t").rlike("[^_]_+[^_]")).select(*keys, F.lower("t").alias("token"))
+
+
+def tokens(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
+    """(keys, token), one row a token: stems of words, stems of the parts of ASCII camel-case words, whole snake-case names."""
+    return word_tokens(words(df, text_col, *keys), *keys).unionByName(snake_tokens(df, text_col, *keys))
 
 
 def term_frequencies(df: DataFrame, fields: dict[str, float], *keys: str) -> DataFrame:
-    """(keys, term, tf): each field's tokens count its weight."""
-    parts = [tokens(df, field, *keys).withColumn("weight", F.lit(float(weight))) for field, weight in fields.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy(*keys, F.col("token").alias("term")).agg(F.sum("weight").alias("tf"))
+    """(keys, term, tf): each field's tokens count its weight.
+
+    Words are counted before they are stemmed, and each different word is stemmed once, however many rows have it.
+    """
+    counted = named = None
+    for field, weight in fields.items():
+        plain = words(df, field, *keys).filter(~F.col("w").isin(*STOPWORDS))
+        own = plain.groupBy(*keys, "w").agg((F.count("*") * F.lit(float(weight))).alias("n"))
+        names = snake_tokens(df, field, *keys).select(*keys, F.col("token").alias("term"), F.lit(float(weight)).alias("n"))
+        counted, named = (own, names) if counted is None else (counted.unionByName(own), named.unionByName(names))
+    stems = word_tokens(counted.select("w").distinct(), "w")
+    parts = counted.join(stems, "w").select(*keys, F.col("token").alias("term"), "n").unionByName(named)
+    return parts.groupBy(*keys, "term").agg(F.sum("n").alias("tf"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:

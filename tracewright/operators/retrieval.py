@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as X
+from tracewright.session import checkpointed
 
 
 def index(df: DataFrame, doc: str, fields: dict[str, float]) -> tuple[DataFrame, DataFrame]:
-    """(postings (doc, term, tf), docs (doc, length))."""
-    postings = X.term_frequencies(df, fields, doc)
+    """(postings (doc, term, tf), docs (doc, length)); the postings are written once, and read by all that follows."""
+    postings = checkpointed(X.term_frequencies(df, fields, doc))
     lengths = postings.groupBy(doc).agg(F.sum("tf").alias("length"))
     return postings, df.select(doc).join(lengths, doc, "left").select(doc, F.coalesce("length", F.lit(0.0)).alias("length"))
 
@@ -152,17 +153,34 @@ def contained_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, i
     return whole.select("item", "doc").distinct()
 
 
-def twins(df: DataFrame, key: str, name: str, text: str, least: float = 0.8, size: int = 3) -> DataFrame:
-    """(a, b, similarity): same-named bodies of similar word n-grams; names of many bodies are left to near-duplicate joins."""
+def twins(df: DataFrame, key: str, name: str, text: str, least: float = 0.8, size: int = 3, signature: str | None = None, alike: float = 0.65, short: int = 0) -> DataFrame:
+    """(a, b, similarity): same-named bodies that are similar, by ``least``, or by ``alike`` where their signatures are equal.
+
+    Bodies of more than ``short`` words each are compared by their word n-grams, others by the ratio of matching words.  A name of
+    more than six bodies is no name of twins; near-duplicate joins find their copies.
+    """
+    from difflib import SequenceMatcher
+
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(size)), " ")))
-    bodies = df.select(F.col(key).alias("k"), F.col(name).alias("name"), words.alias("w")).select("k", "name", grams.alias("g"))
+    bodies = df.select(F.col(key).alias("k"), F.col(name).alias("name"), (F.col(signature) if signature else F.lit(None).cast("string")).alias("s"), words.alias("w"))
     few = bodies.groupBy("name").agg(F.count("*").alias("n")).filter("n BETWEEN 2 AND 6").select("name")
-    x = bodies.join(few, "name")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(size)), " ")))
+    x = bodies.join(few, "name").withColumn("g", grams)
     both = x.alias("x").join(x.alias("y"), "name").filter("x.k < y.k")
     same = F.size(F.array_intersect("x.g", "y.g"))
-    s = F.round(same / (F.size("x.g") + F.size("y.g") - same), 9)
-    return both.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), s.alias("similarity")).filter(F.col("similarity") >= least)
+    similarity = F.round(same / (F.size("x.g") + F.size("y.g") - same), 9)
+    if short:
+
+        @F.pandas_udf("double")
+        def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([round(SequenceMatcher(None, list(p), list(q), autojunk=False).ratio(), 9) for p, q in zip(a, b, strict=True)])
+
+        brief = F.least(F.size("x.w"), F.size("y.w")) <= short
+        # a ratio needs lengths within its bound; long bodies are not handed over
+        nothing = F.array().cast("array<string>")
+        similarity = F.when(brief, ratio(F.when(brief, F.col("x.w")).otherwise(nothing), F.when(brief, F.col("y.w")).otherwise(nothing))).otherwise(similarity)
+    needed = F.when(F.col("x.s").isNotNull() & (F.col("x.s") == F.col("y.s")), F.lit(min(least, alike) if signature else least)).otherwise(F.lit(least))
+    return both.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), similarity.alias("similarity"), needed.alias("needed")).filter("similarity >= needed").drop("needed")
 
 
 def close_names(names: DataFrame, name: str, wanted: DataFrame, want: str, cutoff: float = 0.75, n: int = 5) -> DataFrame:

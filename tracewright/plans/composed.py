@@ -13,14 +13,14 @@ from tracewright.operators import retrieval as Q
 
 from .graphs import EDGES, part_edges
 from .registry import Tables, query
-from .retrieval import ASKED, INDEX, SCORES, _plain, _scores
+from .retrieval import ASKED, INDEX, SCORES, _scores
 from .windows import HITS, _hits
 
 
-@query("jn3_postings_docs", f"WITH {INDEX}, {ASKED} SELECT p.term, p.doc_id, tf, length FROM postings p JOIN lens USING (doc_id) WHERE p.term IN (SELECT term FROM asked WHERE item_id = 0)")
+@query("jn3_postings_docs", f"WITH {INDEX}, {ASKED} SELECT p.term, p.doc_id, tf, length FROM postings p JOIN lens USING (doc_id) WHERE p.term IN (SELECT term FROM asked)")
 def postings_docs(t: Tables) -> DataFrame:
-    postings, docs = Q.index(_plain(t.documents), "doc_id", {"text": 1.0})
-    terms = Q.query_terms(_plain(t.benchmark.filter("item_id = 0")), "item_id", "text").select("term").distinct()
+    postings, docs = Q.index(t.documents, "doc_id", {"text": 1.0})
+    terms = Q.query_terms(t.benchmark, "item_id", "text").select("term").distinct()
     return postings.join(terms, "term").join(docs, "doc_id").select("term", "doc_id", "tf", "length")
 
 
@@ -68,14 +68,14 @@ def definitions(t: Tables) -> DataFrame:
     return t.part.filter(named | mentioned).select("p_partkey", F.when(named, 60).when(mentioned, 25).otherwise(0).alias("bonus"))
 
 
-@query("ex11_context_pack", f"""WITH RECURSIVE {EDGES}, tg AS (SELECT p_partkey AS target FROM part WHERE p_partkey <= 20), c1 AS (SELECT dst AS target, src AS node, 1.0::DOUBLE AS w FROM edges WHERE dst IN (SELECT target FROM tg)), c2 AS (SELECT src AS target, dst AS node, 0.85::DOUBLE AS w FROM edges WHERE src IN (SELECT target FROM tg)),
+@query("ex11_context_pack", f"""WITH RECURSIVE {EDGES}, tg AS (SELECT p_partkey AS target FROM part), c1 AS (SELECT dst AS target, src AS node, 1.0::DOUBLE AS w FROM edges WHERE dst IN (SELECT target FROM tg)), c2 AS (SELECT src AS target, dst AS node, 0.85::DOUBLE AS w FROM edges WHERE src IN (SELECT target FROM tg)),
 c3 AS (SELECT c1.target, e.src AS node, 0.4::DOUBLE AS w FROM c1 JOIN edges e ON e.dst = c1.node WHERE e.src != c1.target), b AS (SELECT target, node, max(w) AS w FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3) GROUP BY target, node),
 s AS (SELECT target, node, CAST(p_size AS BIGINT) AS cost, row_number() OVER (PARTITION BY target ORDER BY round(w * (0.5::DOUBLE + p_retailprice / (SELECT max(p_retailprice) FROM part)), 9) DESC, node) AS p FROM b JOIN part ON p_partkey = node WHERE p_size <= 120),
 g AS (SELECT target, p, node, cost <= 120 AS took, CASE WHEN cost <= 120 THEN cost ELSE 0 END AS used FROM s WHERE p = 1 UNION ALL SELECT s.target, s.p, s.node, g.used + s.cost <= 120, CASE WHEN g.used + s.cost <= 120 THEN g.used + s.cost ELSE g.used END FROM g JOIN s ON s.target = g.target AND s.p = g.p + 1)
 SELECT target, node, used FROM g WHERE took""")
 def context_pack(t: Tables) -> DataFrame:
     edges = part_edges(t)
-    target = t.part.filter("p_partkey <= 20").select(F.col("p_partkey").alias("target"))
+    target = t.part.select(F.col("p_partkey").alias("target"))
     callers = edges.select(F.col("dst").alias("target"), F.col("src").alias("node")).join(target, "target", "left_semi")
     callees = edges.select(F.col("src").alias("target"), F.col("dst").alias("node")).join(target, "target", "left_semi")
     further = callers.join(edges.select(F.col("dst").alias("node"), F.col("src").alias("far")), "node").filter("far != target").select("target", F.col("far").alias("node"))
@@ -86,13 +86,13 @@ def context_pack(t: Tables) -> DataFrame:
 @query("ex12_task_packet")
 def task_packet(t: Tables) -> DataFrame:
     """Requests answered with blocks of lines: the best documents, their lines by term weights, grouped, suppressed and packed."""
-    asked = _plain(t.benchmark)
+    asked = t.benchmark
     best = Q.ranked(_scores(t), "item_id", "score", 5, "doc_id").select("item_id", "doc_id")
-    postings, docs = Q.index(_plain(t.documents), "doc_id", {"text": 1.0})
+    postings, docs = Q.index(t.documents, "doc_id", {"text": 1.0})
     n = docs.filter("length > 0").agg(F.count("*")).scalar()
     weights = Q.query_terms(asked, "item_id", "text").join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").select("item_id", F.col("term").alias("token"), X.idf(n, F.col("df")).alias("w"))
     cut = Q.lines(t.documents.join(best.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text").withColumnsRenamed({"n": "line_no", "line": "text"})
-    on_line = X.tokens(_plain(cut), "text", "doc_id", "line_no").distinct()
+    on_line = X.tokens(cut, "text", "doc_id", "line_no").distinct()
     scored = on_line.join(weights, "token").join(best, ["item_id", "doc_id"], "left_semi").groupBy("item_id", "doc_id", "line_no").agg(F.round(F.sum("w"), 6).alias("s"))
     strong = scored.withColumn("most", F.max("s").over(Window.partitionBy("item_id"))).filter("s >= 0.25D * most").drop("most")
     return K.packet(strong, "item_id", "doc_id", "line_no", "s", 800)
@@ -212,9 +212,9 @@ def oversize_check(t: Tables) -> DataFrame:
     return flags.select(F.explode(rows).alias("r")).select("r.*")
 
 
-@query("q42_rendering", "SELECT p_brand, '# ' || p_brand || chr(10) || string_agg('- ' || p_name, chr(10) ORDER BY p_name) AS text FROM (SELECT DISTINCT p_brand, p_name FROM part WHERE p_size = 50) GROUP BY p_brand")
+@query("q42_rendering", "SELECT p_brand, '# ' || p_brand || chr(10) || string_agg('- ' || p_name, chr(10) ORDER BY p_name) AS text FROM (SELECT DISTINCT p_brand, p_name FROM part) GROUP BY p_brand")
 def rendering(t: Tables) -> DataFrame:
-    names = t.part.filter("p_size = 50").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("n"))
+    names = t.part.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("n"))
     return names.select("p_brand", F.concat(F.lit("# "), "p_brand", F.lit("\n"), F.array_join(F.transform("n", lambda x: F.concat(F.lit("- "), x)), "\n")).alias("text"))
 
 

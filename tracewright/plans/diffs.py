@@ -86,13 +86,13 @@ def drift(t: Tables) -> DataFrame:
 TITLE = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) > 2))"
 
 
-@query("st9_finding_upsert", f"""WITH k AS (SELECT p_brand, p_type, p_partkey AS id, p_name AS was, CASE WHEN p_partkey % 2 = 0 THEN 'fixed' ELSE 'open' END AS status FROM part WHERE p_partkey <= 300), s AS (SELECT DISTINCT p_brand, p_type, p_name AS now FROM part WHERE p_partkey BETWEEN 200 AND 500),
+@query("st9_finding_upsert", f"""WITH k AS (SELECT p_brand, p_type, p_partkey AS id, p_name AS was, CASE WHEN p_partkey % 2 = 0 THEN 'fixed' ELSE 'open' END AS status FROM part WHERE p_size <= 30), s AS (SELECT DISTINCT p_brand, p_type, p_name AS now FROM part WHERE p_size >= 20),
 m AS (SELECT s.*, k.id, k.status FROM s JOIN k USING (p_brand, p_type) WHERE len(list_intersect({TITLE.format('was')}, {TITLE.format('now')}))::DOUBLE / len(list_distinct({TITLE.format('was')} || {TITLE.format('now')})) >= 0.5::DOUBLE QUALIFY row_number() OVER (PARTITION BY s.p_brand, s.p_type, s.now ORDER BY id) = 1)
 SELECT id, now AS title, CASE WHEN status = 'fixed' THEN 'open' ELSE status END AS status, CASE WHEN status = 'fixed' THEN 'reopened' ELSE 'updated' END AS result FROM m
 UNION ALL SELECT CAST(NULL AS BIGINT), now, 'open', 'created' FROM s WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.p_brand = s.p_brand AND m.p_type = s.p_type AND m.now = s.now)""")
 def finding_upsert(t: Tables) -> DataFrame:
-    known = t.part.filter("p_partkey <= 300").select("p_brand", "p_type", F.col("p_partkey").alias("id"), "p_name", F.when(F.col("p_partkey") % 2 == 0, "fixed").otherwise("open").alias("status"))
-    return C.upsert_findings(known, t.part.filter("p_partkey BETWEEN 200 AND 500"), ["p_brand", "p_type"], "p_name")
+    known = t.part.filter("p_size <= 30").select("p_brand", "p_type", F.col("p_partkey").alias("id"), "p_name", F.when(F.col("p_partkey") % 2 == 0, "fixed").otherwise("open").alias("status"))
+    return C.upsert_findings(known, t.part.filter("p_size >= 20"), ["p_brand", "p_type"], "p_name")
 
 
 @query("st10_report_diff", "WITH a AS (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id % 3 != 0), b AS (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id % 4 != 0) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'fixed' ELSE 'persisting' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id")
@@ -101,9 +101,9 @@ def report_diff(t: Tables) -> DataFrame:
     return C.report_diff(bad.filter("doc_id % 3 != 0"), bad.filter("doc_id % 4 != 0"), "doc_id")
 
 
-@query("st12_subsumption", "WITH g AS (SELECT DISTINCT p_name AS n, p_brand AS m FROM part WHERE p_partkey % 4 = 0), s AS (SELECT n, count(*) AS size FROM g GROUP BY n), k AS (SELECT x.n, y.n AS other, count(*) AS k FROM g x JOIN g y ON x.m = y.m AND x.n != y.n GROUP BY ALL) SELECT DISTINCT k.n AS p_name FROM k JOIN s ON s.n = k.n JOIN s o ON o.n = k.other WHERE k.k = s.size AND o.size > s.size")
+@query("st12_subsumption", "WITH g AS (SELECT DISTINCT p_name AS n, p_brand AS m FROM part), s AS (SELECT n, count(*) AS size FROM g GROUP BY n), k AS (SELECT x.n, y.n AS other, count(*) AS k FROM g x JOIN g y ON x.m = y.m AND x.n != y.n GROUP BY ALL) SELECT DISTINCT k.n AS p_name FROM k JOIN s ON s.n = k.n JOIN s o ON o.n = k.other WHERE k.k = s.size AND o.size > s.size")
 def subsumption(t: Tables) -> DataFrame:
-    return C.subsumed(t.part.filter("p_partkey % 4 = 0"), "p_name", "p_brand")
+    return C.subsumed(t.part, "p_name", "p_brand")
 
 
 @query("q6_decision_validity", "SELECT doc_id, CASE WHEN quality = 0 THEN 'inactive' WHEN toxic = 1 THEN 'unverified' WHEN doc_id % 4 = 0 THEN 'stale' ELSE 'current' END AS state FROM labels")
@@ -174,10 +174,12 @@ def related_history(t: Tables) -> DataFrame:
     return kept.withColumn("p", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id"))).filter("p <= 2").select("user_id", "event_id")
 
 
-@query("ir29_session_recall", r"WITH q AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}]{4,}'))) AS w FROM benchmark WHERE item_id = 1), s AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[\p{L}]{4,}')) AS w FROM conversations) SELECT conv_id, count(*) AS overlap FROM s JOIN q USING (w) GROUP BY conv_id ORDER BY overlap DESC, conv_id DESC LIMIT 10")
+@query("ir29_session_recall", r"WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}]{4,}')) AS w FROM benchmark), s AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[\p{L}]{4,}')) AS w FROM conversations) SELECT item_id, conv_id, count(*) AS overlap FROM s JOIN q USING (w) GROUP BY item_id, conv_id QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, conv_id DESC) <= 10")
 def session_recall(t: Tables) -> DataFrame:
+    """For each request the ten sessions that share most words with it."""
     def words(df: DataFrame, *keys: str) -> DataFrame:
         return df.select(*keys, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{4,}"), F.lit(0))).alias("w")).distinct()
 
-    found = words(t.conversations, "conv_id").join(words(t.benchmark.filter("item_id = 1")), "w")
-    return found.groupBy("conv_id").agg(F.count("*").alias("overlap")).orderBy(F.desc("overlap"), F.desc("conv_id")).limit(10)
+    found = words(t.conversations, "conv_id").join(words(t.benchmark, "item_id"), "w").groupBy("item_id", "conv_id").agg(F.count("*").alias("overlap"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("overlap"), F.desc("conv_id")))
+    return found.withColumn("p", place).filter("p <= 10").drop("p")

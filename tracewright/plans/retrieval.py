@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as X
 from tracewright.operators import retrieval as Q
+from tracewright.session import checkpointed
 
 from .registry import Tables, query
 
@@ -14,60 +15,57 @@ STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 
 
 def _tokens_sql(name: str, table: str, key: str) -> str:
-    """Words of a table's text, of lower case, none of them camel or snake case names, stemmed."""
-    return f"""{name}_w AS (SELECT {key}, unnest(regexp_extract_all(lower(replace(text, '_', ' ')), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {table}),
-{name} AS (SELECT {key}, {X.stem_sql('w')} AS term FROM {name}_w WHERE w NOT IN ({STOP}))"""
-
-
-#: Only words that have neither digits nor capitals within: what splits names needs lookahead, which the other engine lacks.
-PLAIN_DOCS = r"(SELECT doc_id, lang, source, lower(regexp_replace(text, '[0-9_]', ' ', 'g')) AS text FROM documents)"
-PLAIN_ITEMS = r"(SELECT item_id, lower(regexp_replace(text, '[0-9_]', ' ', 'g')) AS text FROM benchmark)"
-
-
-def _plain(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", F.lower(F.regexp_replace("text", "[0-9_]", " ")))
-
-
-INDEX = f"""{_tokens_sql('t', PLAIN_DOCS, 'doc_id')}, postings AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM t GROUP BY ALL), lens AS (SELECT doc_id, sum(tf) AS length FROM postings GROUP BY doc_id),
+    """Tokens of a table's text: stems of words and of the parts of camel-case words, whole snake-case names."""
+    camel = r"regexp_full_match(w, '[A-Za-z0-9]+') AND regexp_matches(w, '[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]')"
+    # capitals before a capitalised part are parted first, as the other engine does by lookahead
+    parts = r"regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')"
+    return f"""{name}_w AS (SELECT {key}, unnest(regexp_extract_all(replace(text, '_', ' '), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {table}),
+{name}_p AS (SELECT {key}, w, CASE WHEN {camel} THEN {parts} ELSE [] END AS p FROM {name}_w),
+{name}_t AS (SELECT {key}, unnest(list_concat([lower(w)], CASE WHEN len(p) > 1 THEN list_transform(p, lambda x: lower(x)) ELSE [] END)) AS w FROM {name}_p),
+{name}_s AS (SELECT {key}, unnest(regexp_extract_all(text, '[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*')) AS w FROM {table}),
+{name} AS (SELECT {key}, {X.stem_sql('w')} AS term FROM {name}_t WHERE w NOT IN ({STOP}) UNION ALL SELECT {key}, lower(w) FROM {name}_s WHERE regexp_matches(w, '[^_]_+[^_]'))"""
+
+
+INDEX = f"""{_tokens_sql('t', 'documents', 'doc_id')}, postings AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM t GROUP BY ALL), lens AS (SELECT doc_id, sum(tf) AS length FROM postings GROUP BY doc_id),
 size AS (SELECT count(*) AS n, avg(length) AS average FROM lens WHERE length > 0), freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term)"""
-ASKED = f"""{_tokens_sql('a', PLAIN_ITEMS, 'item_id')}, asked AS (SELECT DISTINCT item_id, term FROM a)"""
+ASKED = f"""{_tokens_sql('a', 'benchmark', 'item_id')}, asked AS (SELECT DISTINCT item_id, term FROM a)"""
 SCORES = f"""{INDEX}, {ASKED}, scores AS (SELECT item_id, p.doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / greatest(average, 1e-9::DOUBLE))))) AS score
 FROM asked JOIN freq USING (term) JOIN postings p USING (term) JOIN lens l ON l.doc_id = p.doc_id, size GROUP BY ALL)"""
 
 
 def _scores(t: Tables) -> DataFrame:
-    postings, docs = Q.index(_plain(t.documents), "doc_id", {"text": 1.0})
-    return Q.bm25_scores(postings, docs, "doc_id", Q.query_terms(_plain(t.benchmark), "item_id", "text"), "item_id").withColumn("score", F.round("score", 9))
+    postings, docs = Q.index(t.documents, "doc_id", {"text": 1.0})
+    return Q.bm25_scores(postings, docs, "doc_id", Q.query_terms(t.benchmark, "item_id", "text"), "item_id").withColumn("score", F.round("score", 9))
 
 
-@query("ir1_tokens", f"WITH {_tokens_sql('t', PLAIN_DOCS, 'doc_id')} SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM t GROUP BY doc_id")
+@query("ir1_tokens", f"WITH {_tokens_sql('t', 'documents', 'doc_id')} SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM t GROUP BY doc_id")
 def tokens(t: Tables) -> DataFrame:
-    return X.tokens(_plain(t.documents), "text", "doc_id").groupBy("doc_id").agg(F.count("*").alias("tokens"), F.countDistinct("token").alias("terms"))
+    return X.term_frequencies(t.documents, {"text": 1.0}, "doc_id").groupBy("doc_id").agg(F.sum("tf").cast("long").alias("tokens"), F.count("*").alias("terms"))
 
 
-@query("ir2_stems", f"SELECT w AS word, {X.stem_sql('w')} AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS w FROM {PLAIN_ITEMS})")
+@query("ir2_stems", f"SELECT w AS word, {X.stem_sql('w')} AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS w FROM (SELECT lower(text) AS text FROM benchmark))")
 def stems(t: Tables) -> DataFrame:
-    words = _plain(t.benchmark).select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word")).distinct()
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word")).distinct()
     return words.select("word", X.stem(F.col("word")).alias("stem"))
 
 
-@query("ag1_term_frequencies", f"WITH {_tokens_sql('t', PLAIN_DOCS, 'doc_id')}, s AS (SELECT doc_id, source AS term FROM documents) SELECT term, sum(n) AS tf FROM (SELECT term, count(*)::DOUBLE AS n FROM t GROUP BY term UNION ALL SELECT term, 3.0::DOUBLE * count(*) FROM s GROUP BY term) GROUP BY term")
+@query("ag1_term_frequencies", f"WITH {_tokens_sql('t', 'documents', 'doc_id')}, s AS (SELECT doc_id, source AS term FROM documents) SELECT term, sum(n) AS tf FROM (SELECT term, count(*)::DOUBLE AS n FROM t GROUP BY term UNION ALL SELECT term, 3.0::DOUBLE * count(*) FROM s GROUP BY term) GROUP BY term")
 def term_frequencies(t: Tables) -> DataFrame:
     """A document's source counts three times its text; totals by term."""
-    per_doc = X.term_frequencies(_plain(t.documents), {"text": 1.0}, "doc_id")
+    per_doc = X.term_frequencies(t.documents, {"text": 1.0}, "doc_id")
     names = t.documents.select("doc_id", F.col("source").alias("term"), F.lit(3.0).alias("tf"))
     return per_doc.unionByName(names).groupBy("term").agg(F.sum("tf").alias("tf"))
 
 
 @query("ag2_lengths", f"WITH {INDEX} SELECT n, round(average, 9) AS average FROM size")
 def lengths(t: Tables) -> DataFrame:
-    _, docs = Q.index(_plain(t.documents), "doc_id", {"text": 1.0})
+    _, docs = Q.index(t.documents, "doc_id", {"text": 1.0})
     return docs.filter("length > 0").agg(F.count("*").alias("n"), F.round(F.avg("length"), 9).alias("average"))
 
 
 @query("ag3_document_frequencies", f"WITH {INDEX} SELECT term, df FROM freq WHERE df >= 2")
 def document_frequencies(t: Tables) -> DataFrame:
-    postings, _ = Q.index(_plain(t.documents), "doc_id", {"text": 1.0})
+    postings, _ = Q.index(t.documents, "doc_id", {"text": 1.0})
     return postings.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 2")
 
 
@@ -101,7 +99,7 @@ def rrf(t: Tables) -> DataFrame:
 
 @query("st4_conjunctive", f"WITH {INDEX} SELECT doc_id FROM postings WHERE term IN ('he', 'there', 'tion') GROUP BY doc_id HAVING count(DISTINCT term) = 3".replace("'he', 'there', 'tion'", "'le', 'tion', 'ment'").replace("{", "{"))
 def conjunctive(t: Tables) -> DataFrame:
-    postings, _ = Q.index(_plain(t.documents), "doc_id", {"text": 1.0})
+    postings, _ = Q.index(t.documents, "doc_id", {"text": 1.0})
     terms = t.spark.createDataFrame([("le",), ("tion",), ("ment",)], "term string")
     return Q.with_all_terms(postings, "doc_id", terms)
 
@@ -178,18 +176,26 @@ def contained_passages(t: Tables) -> DataFrame:
 GRAMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
-@query("ir24_twins", rf"""WITH b AS (SELECT doc_id AS k, source || ':' || (doc_id % 100) AS name, {GRAMS} AS w FROM documents), few AS (SELECT name FROM b GROUP BY name HAVING count(*) BETWEEN 2 AND 6),
-g AS (SELECT k, name, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM b WHERE name IN (SELECT name FROM few)),
-p AS (SELECT x.k AS a, y.k AS b, len(list_intersect(x.g, y.g)) AS s, len(x.g) AS m, len(y.g) AS n FROM g x JOIN g y ON x.name = y.name AND x.k < y.k)
-SELECT a, b, round(s / (m + n - s)::DOUBLE, 9) AS similarity FROM p WHERE round(s / (m + n - s)::DOUBLE, 9) >= 0.001::DOUBLE""")
+@query("ir24_twins", rf"""WITH d AS (SELECT doc_id AS k, source || ':' || length(text) // 16 AS name, lang AS signature, {GRAMS} AS w FROM documents), few AS (SELECT name FROM d GROUP BY name HAVING count(*) BETWEEN 2 AND 6),
+g AS (SELECT k, name, signature, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM d WHERE name IN (SELECT name FROM few)),
+p AS (SELECT x.k AS a, y.k AS b, coalesce(x.signature = y.signature, false) AS same, len(list_intersect(x.g, y.g)) AS s, len(x.g) AS m, len(y.g) AS n FROM g x JOIN g y ON x.name = y.name AND x.k < y.k)
+SELECT a, b, round(s / (m + n - s)::DOUBLE, 9) AS similarity FROM p WHERE round(s / (m + n - s)::DOUBLE, 9) >= CASE WHEN same THEN 0.65::DOUBLE ELSE 0.8::DOUBLE END""")
 def twins(t: Tables) -> DataFrame:
-    named = t.documents.withColumn("name", F.concat_ws(":", "source", (F.col("doc_id") % 100).cast("string")))
-    return Q.twins(named, "doc_id", "name", "text", 0.001)
+    """Texts of one source and about one length stand for bodies of one name; their number does not follow the table's size."""
+    named = t.documents.withColumn("name", F.concat_ws(":", "source", F.expr("length(text) div 16").cast("string")))
+    return Q.twins(named, "doc_id", "name", "text", signature="lang")
+
+
+@query("ir24_token_twins")
+def token_twins(t: Tables) -> DataFrame:
+    """The same by the ratio of matching tokens, which short bodies are held to."""
+    named = t.documents.withColumn("name", F.concat_ws(":", "source", F.expr("length(text) div 16").cast("string")))
+    return Q.twins(named, "doc_id", "name", "text", signature="lang", short=700)
 
 
 @query("ir25_close_names")
 def close_names(t: Tables) -> DataFrame:
-    wanted = t.part.filter("p_partkey <= 20").select(F.concat(F.substring("p_name", 2, 100), F.lit("x")).alias("want"))
+    wanted = t.part.select(F.concat(F.substring("p_name", 2, 100), F.lit("x")).alias("want")).distinct()
     return Q.close_names(t.part.select("p_name").distinct(), "p_name", wanted, "want", 0.75, 5)
 
 
@@ -202,13 +208,13 @@ def confidence(t: Tables) -> DataFrame:
 WORDS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}]{4,}'))"
 
 
-@query("ir28_overlap_search", rf"WITH d AS (SELECT item_id, {WORDS} AS w FROM benchmark), q AS (SELECT conv_id, turn, {WORDS} AS w FROM conversations WHERE role = 'user' AND turn <= 1), e AS (SELECT conv_id, turn, unnest(w) AS x FROM q), f AS (SELECT item_id, unnest(w) AS x FROM d) SELECT conv_id, turn, item_id, count(*) AS overlap FROM e JOIN f USING (x) GROUP BY conv_id, turn, item_id QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY count(*) DESC, item_id) <= 2")
+@query("ir28_overlap_search", rf"WITH d AS (SELECT item_id, {WORDS} AS w FROM benchmark), q AS (SELECT conv_id, turn, {WORDS} AS w FROM conversations WHERE role = 'user'), e AS (SELECT conv_id, turn, unnest(w) AS x FROM q), f AS (SELECT item_id, unnest(w) AS x FROM d) SELECT conv_id, turn, item_id, count(*) AS overlap FROM e JOIN f USING (x) GROUP BY conv_id, turn, item_id QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY count(*) DESC, item_id) <= 2")
 def overlap_search(t: Tables) -> DataFrame:
     """Items by the number of words that they share with a request; words are the join key."""
     def words(df: DataFrame, *keys: str) -> DataFrame:
         return df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{4,}"), F.lit(0)))).alias("x"))
 
-    asked = words(t.conversations.filter("role = 'user' AND turn <= 1"), "conv_id", "turn")
+    asked = words(t.conversations.filter("role = 'user'"), "conv_id", "turn")
     counted = asked.join(words(t.benchmark, "item_id"), "x").groupBy("conv_id", "turn", "item_id").agg(F.count("*").alias("overlap"))
     place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.desc("overlap"), "item_id"))
     return counted.withColumn("p", place).filter("p <= 2").drop("p")
@@ -217,25 +223,27 @@ def overlap_search(t: Tables) -> DataFrame:
 @query("ir8_term_weights", f"WITH {SCORES} SELECT item_id, term, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * CASE WHEN length(term) > 8 THEN 3.0::DOUBLE WHEN length(term) < 4 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END, 6) AS weight FROM asked JOIN freq USING (term), size")
 def term_weights(t: Tables) -> DataFrame:
     """A request's terms by rarity, with factors for focus and for synonyms."""
-    postings, docs = Q.index(_plain(t.documents), "doc_id", {"text": 1.0})
+    postings, docs = Q.index(t.documents, "doc_id", {"text": 1.0})
     n = docs.filter("length > 0").agg(F.count("*")).scalar()
-    asked = Q.query_terms(_plain(t.benchmark), "item_id", "text").join(postings.groupBy("term").agg(F.count("*").alias("df")), "term")
+    asked = Q.query_terms(t.benchmark, "item_id", "text").join(postings.groupBy("term").agg(F.count("*").alias("df")), "term")
     factor = F.when(F.length("term") > 8, 3.0).when(F.length("term") < 4, 0.5).otherwise(1.0)
     return asked.select("item_id", "term", F.round(X.idf(n, F.col("df")) * factor, 6).alias("weight"))
 
 
-@query("ir9_line_scores", f"""WITH {SCORES}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM scores WHERE item_id = 3 QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) <= 5)),
-w AS (SELECT DISTINCT doc_id, n, unnest(regexp_extract_all(lower(regexp_replace(text, '[0-9_]', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+')) AS w FROM l), s AS (SELECT DISTINCT doc_id, n AS line, {X.stem_sql('w')} AS term FROM w WHERE w NOT IN ({STOP}))
-SELECT doc_id, CAST(line AS INTEGER) AS line, round(sum(ln(1 + (size.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 6) AS score FROM s JOIN asked ON asked.term = s.term AND item_id = 3 JOIN freq ON freq.term = s.term, size GROUP BY ALL""")
+@query("ir9_line_scores", f"""WITH {SCORES}, best AS (SELECT item_id, doc_id FROM scores QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= 5),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM best)), {_tokens_sql('k', 'l', 'doc_id, n')}, s AS (SELECT DISTINCT doc_id, n AS line, term FROM k)
+SELECT item_id, doc_id, CAST(line AS INTEGER) AS line, round(sum(ln(1 + (size.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 6) AS score FROM s JOIN best USING (doc_id) JOIN asked USING (item_id, term) JOIN freq USING (term), size GROUP BY ALL""")
 def line_scores(t: Tables) -> DataFrame:
-    """The lines of the best documents by the weights of the request's terms on them."""
-    best = Q.ranked(_scores(t).filter("item_id = 3"), "item_id", "score", 5, "doc_id").select("doc_id")
-    cut = Q.lines(t.documents.join(best, "doc_id", "left_semi"), "doc_id", "text").withColumnsRenamed({"n": "line_no", "line": "text"})
-    on_line = X.tokens(_plain(cut), "text", "doc_id", "line_no").distinct()
-    postings, docs = Q.index(_plain(t.documents), "doc_id", {"text": 1.0})
+    """The lines of each request's best documents by the weights of its terms on them."""
+    postings, docs = Q.index(t.documents, "doc_id", {"text": 1.0})
+    asked = Q.query_terms(t.benchmark, "item_id", "text")
+    scores = Q.bm25_scores(postings, docs, "doc_id", asked, "item_id").withColumn("score", F.round("score", 9))
+    best = checkpointed(Q.ranked(scores, "item_id", "score", 5, "doc_id").select("item_id", "doc_id"))
+    cut = Q.lines(t.documents.join(best.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text").withColumnsRenamed({"n": "line_no", "line": "text"})
+    on_line = X.tokens(cut, "text", "doc_id", "line_no").distinct()
     n = docs.filter("length > 0").agg(F.count("*")).scalar()
-    weights = Q.query_terms(_plain(t.benchmark.filter("item_id = 3")), "item_id", "text").join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").select(F.col("term").alias("token"), X.idf(n, F.col("df")).alias("w"))
-    return on_line.join(weights, "token").groupBy("doc_id", F.col("line_no").alias("line")).agg(F.round(F.sum("w"), 6).alias("score"))
+    weights = asked.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").select("item_id", F.col("term").alias("token"), X.idf(n, F.col("df")).alias("w"))
+    return on_line.join(best, "doc_id").join(weights, ["item_id", "token"]).groupBy("item_id", "doc_id", F.col("line_no").alias("line")).agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 @query("ir31_replacements", r"""SELECT conv_id, turn, regexp_extract(text, '(?i)\bfrom (\S+) to (\S+)', 1) AS a, regexp_extract(text, '(?i)\bfrom (\S+) to (\S+)', 2) AS b FROM conversations WHERE regexp_matches(text, '(?i)\bfrom (\S+) to (\S+)')""")

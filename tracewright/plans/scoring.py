@@ -66,9 +66,9 @@ def smells_by_kind(t: Tables) -> DataFrame:
 WEIGHTS = {"error": 1.5, "purchase": 1.0, "signup": 0.25}
 
 
-@query("ag14_capped_sum", """SELECT user_id, least(4.0::DOUBLE, sum(CASE event_type WHEN 'error' THEN 1.5::DOUBLE WHEN 'purchase' THEN 1.0::DOUBLE WHEN 'signup' THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END)) AS score FROM events WHERE value < 5 GROUP BY user_id""")
+@query("ag14_capped_sum", """SELECT user_id, least(30.0::DOUBLE, sum(CASE event_type WHEN 'error' THEN 1.5::DOUBLE WHEN 'purchase' THEN 1.0::DOUBLE WHEN 'signup' THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END)) AS score FROM events GROUP BY user_id""")
 def capped_sum(t: Tables) -> DataFrame:
-    return A.capped_sum(t.events.filter("value < 5"), "user_id", "event_type", WEIGHTS, 0.5, 4.0)
+    return A.capped_sum(t.events, "user_id", "event_type", WEIGHTS, 0.5, 30.0)
 
 
 @query("ag15_audit_score", f"""WITH {FILES}, last AS (SELECT l_partkey AS k, max(l_shipdate) AS d FROM lineitem GROUP BY l_partkey), now AS (SELECT max(l_shipdate) AS n FROM lineitem), mx AS (SELECT max(churn) AS mc, max(rank) AS mr FROM files)
@@ -112,9 +112,9 @@ def severity_counts(t: Tables) -> DataFrame:
     return t.labels.groupBy("quality").agg(F.count_if(F.col("toxic") == 1).alias("open"), F.count_if(F.col("toxic") == 0).alias("closed"))
 
 
-@query("ag22_grouped_reads", """SELECT event_type AS key, string_agg(DISTINCT CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)) AS reads, count(*) AS n FROM events WHERE value > 40 GROUP BY event_type""")
+@query("ag22_grouped_reads", """SELECT event_type AS key, string_agg(DISTINCT CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)) AS reads, count(*) AS n FROM events GROUP BY event_type""")
 def grouped_reads(t: Tables) -> DataFrame:
-    return t.events.filter("value > 40").groupBy(F.col("event_type").alias("key")).agg(F.array_join(F.array_sort(F.collect_set(F.col("user_id").cast("string"))), ",").alias("reads"), F.count("*").alias("n"))
+    return t.events.groupBy(F.col("event_type").alias("key")).agg(F.array_join(F.array_sort(F.collect_set(F.col("user_id").cast("string"))), ",").alias("reads"), F.count("*").alias("n"))
 
 
 @query("ag23_external_dependents", "SELECT l_shipdate::DATE AS external, count(DISTINCT l_suppkey) AS modules FROM lineitem GROUP BY 1")

@@ -75,8 +75,8 @@ def container_merge(t: Tables) -> DataFrame:
     return whole.select(F.lit("order").alias("kind"), F.col("l_orderkey").alias("id")).union(single.select(F.lit("line"), "l_partkey"))
 
 
-@query("q10_ranked_links", "SELECT l_partkey, l_suppkey, l_orderkey FROM lineitem WHERE l_partkey <= 100 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY CASE l_returnflag WHEN 'N' THEN 0 ELSE 1 END, l_suppkey, l_orderkey, l_linenumber) <= 3")
+@query("q10_ranked_links", "SELECT l_partkey, l_suppkey, l_orderkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY CASE l_returnflag WHEN 'N' THEN 0 ELSE 1 END, l_suppkey, l_orderkey, l_linenumber) <= 3")
 def ranked_links(t: Tables) -> DataFrame:
     resolved = F.when(F.col("l_returnflag") == "N", 0).otherwise(1)
     place = F.row_number().over(Window.partitionBy("l_partkey").orderBy(resolved, "l_suppkey", "l_orderkey", "l_linenumber"))
-    return t.lineitem.filter("l_partkey <= 100").withColumn("p", place).filter("p <= 3").select("l_partkey", "l_suppkey", "l_orderkey")
+    return t.lineitem.withColumn("p", place).filter("p <= 3").select("l_partkey", "l_suppkey", "l_orderkey")
