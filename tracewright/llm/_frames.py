@@ -89,6 +89,14 @@ def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that begins with ``name`` and that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share; one for tests is set where the session has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

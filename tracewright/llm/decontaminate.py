@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tracewright.session import ship
 
-from ._frames import id_and_text, releasing
+from ._frames import fresh, id_and_text, releasing
 
 LENGTH_PER_EDIT = 20
 SLICE_CHARS = 8 << 20
@@ -203,5 +203,6 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` in which no item is found."""
-    dropped = find_leaks(df, benchmark, id_col, text_col).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return df.join(dropped, F.col(id_col) == F.col("dropped_id"), "left_anti")
+    gone = fresh(df, "gone_id")
+    dropped = find_leaks(df, benchmark, id_col, text_col).select(F.col("doc_id").alias(gone)).distinct()
+    return df.join(dropped, F.col(id_col).cast("long") == F.col(gone), "left_anti")

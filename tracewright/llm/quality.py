@@ -8,14 +8,16 @@
 3. For each language a quantile of the held-out documents' perplexities is the threshold, drawn towards the quantile over
    all languages by ``ENOUGH`` documents' worth of it.  The quantile of a small sample is too low: all thresholds are raised
    by an allowance that falls from ``TOLERANCE`` to 1 as held-out documents become many, at the same rate for all languages.
-   Short texts are drawn towards the language's mean by ``PRIOR`` symbols' worth of it.
+   It is held against the ``score``: the perplexity, short texts drawn towards the language's mean by ``PRIOR`` symbols' worth
+   of it.
 
 Labels are broadcast below ``BROADCAST_ROWS`` rows and joined by shuffle beyond.  The discounts and lowest-order counts
 go to the driver: at most ``SYMBOLS + 12`` numbers a language.
 
 Defined results: null and empty texts have no symbols, a null perplexity, and are kept; so is everything where no
 trusted text exists.  A null language is a language.  A document labelled twice is trusted if any label says so and none
-says otherwise.  Repeated rows are scored each.  Columns named like the results are replaced; others pass through.
+says otherwise.  Repeated rows are scored each.  ``classify`` ignores other columns; ``keep_good`` returns its input's, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -46,7 +48,6 @@ MODEL = 0
 QUANTILE, TOLERANCE, PRIOR = 0.99, 1.5, 60
 #: Held-out documents at which a language's own figures weigh half, and at which half of the tolerance is left.
 ENOUGH = 20
-RESULTS = ("n_symbols", "perplexity", "threshold", "keep")
 
 
 def _squeeze(array: np.ndarray) -> bytes:
@@ -145,14 +146,15 @@ def statistics(counts: DataFrame) -> kn.Statistics:
 
 
 def scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, carry: bool) -> DataFrame:
-    """(``df``'s columns, or its id and language), n_symbols, nll, mark: each text's negative log-likelihood."""
+    """doc_id, lang, n_symbols, nll, mark, each text's negative log-likelihood, and with ``carry`` the text and the input's k-th column as ``_k``."""
     ship(df.sparkSession)
-    kept = df.drop(*(c for c in df.columns if c in (*RESULTS, "nll", "mark", "trusted_id", "_block") and c not in (id_col, text_col, lang_col)))
-    rows = marked(kept if carry else kept.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), labels, id_col if carry else "doc_id")
-    i, t, la = (id_col, text_col, lang_col) if carry else ("doc_id", "text", "lang")
+    # the input's own columns go under numbers, so that no name of theirs meets one of these
+    others = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(df.columns) if c != text_col] if carry else []
+    own = [F.col(f"`{c}`").cast(kind).alias(name) for c, kind, name in ((id_col, "long", "doc_id"), (text_col, "string", "text"), (lang_col, "string", "lang"))]
+    rows = marked(df.select(*own, *others), labels)
     shards = _partitions(df)
     blocks = 2 * shards
-    counts = checkpointed(shard_counts(rows.filter("mark = 1"), t, shards))
+    counts = checkpointed(shard_counts(rows.filter("mark = 1"), "text", shards))
     known = df.sparkSession.sparkContext.broadcast(statistics(counts))
 
     def ask(batches):
@@ -211,7 +213,7 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_co
             if out:
                 yield _batch(out, ROWS)
 
-    plain = [f for f in rows.schema.fields if carry or f.name in ("doc_id", "lang", "mark")]
+    plain = [f for f in rows.schema.fields if carry or f.name != "text"]
     result = T.StructType([*plain, T.StructField("n_symbols", T.LongType()), T.StructField("nll", T.DoubleType())])
 
     def score(packed: pa.Table, answers: pa.Table) -> pa.Table:
@@ -223,7 +225,7 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_co
         for blob in packed["rows"].to_pylist():
             table = pa.ipc.open_stream(blob).read_all()
             sizes, sums = [], []
-            for text in table[t].to_pylist():
+            for text in table["text"].to_pylist():
                 grams, n = np.unique(kn.ngrams(text or "", MODEL), return_counts=True)
                 sizes.append(int(n.sum()))
                 sums.append(round(-float((logs[np.searchsorted(codes, grams)] * n).sum()), 4) if grams.size else 0.0)
@@ -233,20 +235,19 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_co
         return pa.concat_tables(out)
 
     # neighbours in id order, which files tend to hold together, share a block and so ask for each n-gram once
-    near_ids = F.floor(F.col(i).cast("long") / NEIGHBOURS)
-    block = F.pmod(F.xxhash64(F.coalesce(near_ids, F.xxhash64(F.col(t).cast("string")))), F.lit(blocks)).alias("_block")
+    near_ids = F.floor(F.col("doc_id") / NEIGHBOURS)
+    block = F.pmod(F.xxhash64(F.coalesce(near_ids, F.xxhash64("text"))), F.lit(blocks)).alias("block")
     copies = counts.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
-    asked = rows.select(block, F.col(t).cast("string")).mapInArrow(releasing(ask), "shard int, salt int, block long, codes binary")
+    asked = rows.select(block, "text").mapInArrow(releasing(ask), "shard int, salt int, block long, codes binary")
     answers = copies.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(answer, "block long, codes binary, logs binary")
     packed = rows.select("*", block).mapInArrow(releasing(pack), "block long, rows binary")
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, result)
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
-    """n_symbols, perplexity, threshold and keep for every document, with ``df``'s columns where ``carry`` is set, else its id and language."""
+def judged(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, carry: bool) -> DataFrame:
+    """What ``scored`` gives, with perplexity, score, threshold and keep."""
     scores = checkpointed(scored(df, labels, id_col, text_col, lang_col, carry))
-    la = lang_col if carry else "lang"
-    held = scores.filter("mark = 2 AND n_symbols > 0").select(F.col(la).alias("held_lang"), "n_symbols", "nll")
+    held = scores.filter("mark = 2 AND n_symbols > 0").select(F.col("lang").alias("held_lang"), "n_symbols", "nll")
     held = held.withColumn("no_lang", F.col("held_lang").isNull()).withColumn("held_lang", F.coalesce("held_lang", F.lit("")))
     mean = F.sum("nll") / F.sum("n_symbols")
     both = held.select("*", F.lit(True).alias("own")).unionByName(held.select(F.lit("").alias("held_lang"), "n_symbols", "nll", F.lit(False).alias("no_lang"), F.lit(False).alias("own")))
@@ -263,17 +264,22 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pooled = cuts.filter("NOT own")
     all_cut, all_held = pooled.select("cut").scalar(), pooled.select("held").scalar()
     own = cuts.filter("own").select("no_lang", "held_lang", F.col("mean").alias("own_mean"), F.col("cut").alias("own_cut"), "share")
-    named = scores.withColumn("no_lang", F.col(la).isNull()).withColumn("held_lang", F.coalesce(F.col(la).cast("string"), F.lit("")))
+    named = scores.withColumn("no_lang", F.col("lang").isNull()).withColumn("held_lang", F.coalesce("lang", F.lit("")))
     joined = named.join(own, ["no_lang", "held_lang"], "left").withColumn("own_mean", F.coalesce("own_mean", all_mean))
     joined = joined.withColumn("own_cut", F.coalesce(F.col("share") * F.col("own_cut") + (1 - F.col("share")) * all_cut, all_cut)).withColumn("all_held", all_held)
     drawn = F.when(F.col("n_symbols") > 0, (F.col("nll") + PRIOR * F.coalesce("own_mean", F.lit(0.0))) / (F.col("n_symbols") + PRIOR))
     threshold = F.exp("own_cut") * F.pow(F.lit(TOLERANCE), ENOUGH / (ENOUGH + F.col("all_held")))
-    carried = [c for c in scores.columns if c not in ("n_symbols", "nll", "mark")]
-    return joined.select(
-        *carried, "n_symbols", F.round(F.exp(drawn), 6).alias("perplexity"), F.round(threshold, 6).alias("threshold"), (F.coalesce(F.exp(drawn) <= threshold, F.lit(True))).alias("keep")
-    )
+    plain = F.when(F.col("n_symbols") > 0, F.exp(F.col("nll") / F.col("n_symbols")))
+    kept = F.coalesce(F.exp(drawn) <= threshold, F.lit(True))
+    return joined.select(*(c for c in scores.columns if c not in ("nll", "mark")), F.round(plain, 6).alias("perplexity"), F.round(F.exp(drawn), 6).alias("score"), F.round(threshold, 6).alias("threshold"), kept.alias("keep"))
+
+
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, lang, n_symbols, perplexity, score, threshold, keep): a document is kept if its score is at most its threshold."""
+    return judged(df, labels, id_col, text_col, lang_col, False)
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df`` that the classifier keeps, with its columns."""
-    return classify(df, labels, id_col, text_col, lang_col, carry=True).filter("keep").select(*df.columns)
+    kept = judged(df, labels, id_col, text_col, lang_col, True).filter("keep")
+    return kept.select(*((F.col("text").cast(df.schema[c].dataType) if c == text_col else F.col(f"_{k}")).alias(c) for k, c in enumerate(df.columns)))
