@@ -4,11 +4,13 @@ Patterns give candidate spans: the four base kinds (email, ip, card, phone), whi
 looser kinds (national numbers, bank accounts, undelimited phones, spelt-out emails, titled names).  Six labelers vote on
 every candidate: pattern checks, a gazetteer, cue words before it, counter-cues, its boundaries and its variety.  The
 votes of all candidates of the corpus are counted by (kind, votes); expectation-maximisation over that table
-estimates the reliability of each labeler and the share of true spans of each kind, and a logistic classifier is
-trained on the estimated labels.  The classifier decides which of the looser candidates are reported.
+estimates the reliability of each labeler and the share of true spans of each kind.  A logistic classifier of the span's own
+shape and of the words around it is trained on the estimated labels; it has features that no labeler looks at, and decides
+which of the looser candidates are reported.
 
-The table of votes has at most ``len(KINDS) * 3 ** len(LABELERS)`` rows at any size of corpus; only it goes to the
-driver.
+The table of votes has at most ``len(KINDS) * 3 ** len(LABELERS)`` rows at any size of corpus.  The classifier is fitted on at
+most ``SAMPLE`` candidates of each of those rows, those of the least hashes, weighed by what they stand for.  Only these
+two tables go to the driver.
 
 Defined results: a null or empty text has no spans.  A corpus without candidates trains nothing and reports base spans
 alone.  Spans are in code points, end exclusive.  Repeated rows give equal rows and count as evidence once each; other
@@ -19,13 +21,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._frames import id_and_text, map_documents
+from ._frames import checkpointed, id_and_text, map_documents, releasing, to_batch
 
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("national_id", "iban", "local_phone", "spelt_email", "name")
@@ -49,9 +53,20 @@ LOOSE_PATTERNS = {
     "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? [A-ZÀ-Þ][a-zà-ÿ]+(?: [A-ZÀ-Þ][a-zà-ÿ]+)?"),
 }
 # Fixed word lists of the gazetteer and context labelers.
-TLDS = frozenset("com org net edu gov io de fr es uk eu info biz co us ca ch at".split())
-GIVEN = frozenset("james mary john anna maria jean marie pierre hans peter paul jose juan carmen luis karl julia thomas sarah david laura daniel emma lucas sofia".split())
-COUNTRIES = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
+TLDS = frozenset(
+    "com org net edu gov mil int info biz io co ai app dev eu us ca mx br ar cl uk ie fr de at ch li nl be lu es pt it gr pl cz sk hu ro bg si hr rs dk se no fi is "
+    "ee lv lt ua ru tr il za eg ng ke in pk cn jp kr tw hk sg my th vn id ph au nz example".split()
+)
+GIVEN = frozenset(
+    "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen daniel lisa matthew nancy "
+    "anthony mark paul steven andrew emma olivia anna maria jean marie pierre michel philippe nathalie isabelle nicolas julien camille hans peter klaus jürgen wolfgang karl "
+    "julia sabine monika petra stefan andreas lukas leon jose juan antonio manuel carmen luis francisco dolores pilar javier carlos lucia sofia laura lucas giovanni giulia marco".split()
+)
+# Countries whose bank accounts have numbers of the international form.
+COUNTRIES = frozenset(
+    "AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MT MU NL NO PK PL PS PT QA RO "
+    "RS SA SE SI SK SM TN TR UA VG XK".split()
+)
 CUES = {
     "email": r"e-?mail|contact|write|reach|address|mailto", "ip": r"\bip\b|host|address|server|login|client", "card": r"card|visa|master|credit|payment|pay",
     "phone": r"phone|tel\b|call|mobile|fax|cell", "national_id": r"ssn|social|security|passport|identity", "iban": r"iban|bank|account|konto|compte|cuenta",
@@ -61,6 +76,8 @@ CUES = {k: re.compile(v, re.IGNORECASE) for k, v in CUES.items()}
 COUNTER = re.compile(r"version|release|isbn|issn|order|invoice|part no|build|figure|table|chapter|section|serial", re.IGNORECASE)
 #: Code points before a candidate that the context labelers read.
 CONTEXT = 40
+#: Candidates of each kind and ballot that the classifier is fitted on at most, slots that words are hashed to, and salts of the sample.
+SAMPLE, SLOTS, SALTS = 64, 64, 64
 
 
 def luhn(digits: str) -> bool:
@@ -181,48 +198,109 @@ def estimate(table: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) ->
     return {k: float(share[i]) for k, i in ORDER.items()}, accuracy, chance
 
 
-def _features(kind: str, ballot: tuple[int, ...]) -> np.ndarray:
-    return np.array([1.0, *(kind == k for k in KINDS), *(v == 1 for v in ballot), *(v == -1 for v in ballot)], dtype=float)
+WORDS = re.compile(r"[^\W\d_]+")
+#: Features: one, the kinds, 6 lengths, 6 numbers of digits, 5 numbers of signs, 4 cases, and words before, after and inside.
+SIZE = 1 + len(KINDS) + 6 + 6 + 5 + 4 + 3 * SLOTS
 
 
-def train(table: list[tuple[str, tuple[int, ...], int]], ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights of the span classifier: ridge logistic regression on the estimated labels, by Newton's method."""
-    size = 1 + len(KINDS) + 2 * len(LABELERS)
-    w = np.zeros(size)
-    if not table:
+def _slot(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % SLOTS
+
+
+def features(text: str, start: int, end: int, kind: str) -> list[int]:
+    """Which of the classifier's features a span has: its kind, shape and words, and the words around it."""
+    value = text[start:end]
+    digits, signs = sum(c.isdigit() for c in value), sum(not c.isalnum() for c in value)
+    case = 0 if value.islower() else 1 if value.isupper() else 2 if value.istitle() else 3
+    at, out = 1, [0]
+    for has, size in ((ORDER[kind], len(KINDS)), (min(len(value) // 6, 5), 6), (min((digits + 2) // 3, 5), 6), (min(signs, 4), 5), (case, 4)):
+        out.append(at + has)
+        at += size
+    before = WORDS.findall(text[max(0, start - CONTEXT) : start])[-4:]
+    after = WORDS.findall(text[end : end + CONTEXT])[:2]
+    for words in (before, after, WORDS.findall(value)[:4]):
+        out += {at + _slot(w) for w in words}
+        at += SLOTS
+    return sorted(out)
+
+
+def chance(w: np.ndarray, found: list[int]) -> float:
+    return float(1 / (1 + np.exp(-np.clip(w[found].sum(), -30, 30))))
+
+
+def train(table: list[tuple[str, tuple[int, ...], int]], sample: list[tuple[str, tuple[int, ...], list[int]]], ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Weights of the span classifier: ridge logistic regression on the estimated labels, by Newton's method.
+
+    ``table`` counts (kind, ballot); ``sample`` has candidates as (kind, ballot, features), each standing for its share of the count.
+    """
+    w = np.zeros(SIZE)
+    if not table or not sample:
         return w
     table = sorted(table)
-    _, _, target = estimate(table)
-    x = np.stack([_features(k, v) for k, v, _ in table])
-    n = np.array([c for _, _, c in table], dtype=float)
+    _, _, estimated = estimate(table)
+    label = {(k, v): (float(p), n) for (k, v, n), p in zip(table, estimated, strict=True)}
+    # equal candidates are one row
+    rows = Counter((tuple(found), kind, ballot) for kind, ballot, found in sample)
+    size = Counter()
+    for (_, kind, ballot), n in rows.items():
+        size[kind, ballot] += n
+    x = np.zeros((len(rows), SIZE))
+    target, weight = np.zeros(len(rows)), np.zeros(len(rows))
+    for i, ((found, kind, ballot), n) in enumerate(sorted(rows.items())):
+        x[i, list(found)] = 1
+        target[i], count = label[kind, ballot]
+        weight[i] = n * count / size[kind, ballot]
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (n * (target - p)) - ridge * w
-        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(size)
+        gradient = x.T @ (weight * (target - p)) - ridge * w
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(SIZE)
         w = w + np.linalg.solve(hessian, gradient)
     return w
 
 
-def vote_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(kind, ballot, n) over all candidates of all documents."""
-    arrow = pa.schema([("kind", pa.string()), ("ballot", pa.string()), ("n", pa.int64())])
+VOTES = pa.schema([("kind", pa.string()), ("ballot", pa.string()), ("n", pa.int64()), ("mark", pa.int64()), ("features", pa.list_(pa.int32()))])
 
-    def make():
-        def each(_, text):
-            if not text:
-                return []
-            base = base_spans(text)
-            return [(k, ",".join(map(str, votes(text, a, b, k))), 1) for a, b, k in base + loose_spans(text, base)]
 
-        return each
+def vote_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(kind, ballot, n, mark, features): each task's candidates of the least hashes, up to ``SAMPLE`` of a kind and ballot, the first
+    of them with the number of all."""
+    sample = SAMPLE
 
-    found = map_documents(id_and_text(df, id_col, text_col), "kind string, ballot string, n long", make, arrow)
-    return found.groupBy("kind", "ballot").agg(F.sum("n").alias("n"))
+    def run(batches):
+        held: dict[tuple[str, str], list] = {}
+        for batch in batches:
+            for text in batch.column(1):
+                if not (text := text.as_py()):
+                    continue
+                base = base_spans(text)
+                for a, b, kind in base + loose_spans(text, base):
+                    own = held.setdefault((kind, ",".join(map(str, votes(text, a, b, kind)))), [0, []])
+                    own[0] += 1
+                    mark = zlib.crc32(text[max(0, a - CONTEXT) : b + CONTEXT].encode("utf-8", "surrogatepass"), a) << 31 ^ a
+                    own[1].append((mark, tuple(features(text, a, b, kind))))
+                    if len(own[1]) >= 2 * sample:
+                        own[1] = sorted(own[1])[:sample]
+        rows = [(kind, ballot, 0 if i else n, mark, list(found)) for (kind, ballot), (n, some) in held.items() for i, (mark, found) in enumerate(sorted(some)[:sample])]
+        if rows:
+            yield to_batch(rows, VOTES)
+
+    return id_and_text(df, id_col, text_col).mapInArrow(releasing(run), "kind string, ballot string, n long, mark long, features array<int>")
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The classifier trained on all of ``df``; the driver gets the bounded table of votes."""
-    return train([(r.kind, tuple(map(int, r.ballot.split(","))), r.n) for r in vote_table(df, id_col, text_col).collect()])
+    """The classifier trained on all of ``df``'s votes and a bounded sample of its candidates."""
+    rows = checkpointed(vote_rows(df, id_col, text_col))
+    table = [(r.kind, _ballot(r.ballot), r.n) for r in rows.groupBy("kind", "ballot").agg(F.sum("n").alias("n")).collect()]
+    # a kind and ballot may have most of the candidates: its tasks' samples are thinned in salted groups first
+    order = [F.col("mark"), F.col("features")]
+    salted = Window.partitionBy("kind", "ballot", F.pmod(F.xxhash64("mark"), F.lit(SALTS))).orderBy(*order)
+    whole = Window.partitionBy("kind", "ballot").orderBy(*order)
+    some = rows.withColumn("place", F.row_number().over(salted)).filter(F.col("place") <= SAMPLE).withColumn("place", F.row_number().over(whole)).filter(F.col("place") <= SAMPLE)
+    return train(table, [(r.kind, _ballot(r.ballot), list(r.features)) for r in some.select("kind", "ballot", "features").collect()])
+
+
+def _ballot(text: str) -> tuple[int, ...]:
+    return tuple(map(int, text.split(",")))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -237,7 +315,7 @@ def find_personal_data(df: DataFrame, weights: np.ndarray | None = None, id_col:
     def make():
         def each(doc_id, text):
             base = base_spans(text) if text else []
-            added = [s for s in loose_spans(text, base) if 1 / (1 + np.exp(-float(_features(s[2], votes(text, *s)) @ w))) > cut] if text else []
+            added = [s for s in loose_spans(text, base) if chance(w, features(text, *s)) > cut] if text else []
             both = sorted(base + added, key=lambda s: (s[0], ORDER[s[2]], s[1]))
             counts = [sum(s[2] == k for s in base) for k in BASE]
             return doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(both), len(added)
