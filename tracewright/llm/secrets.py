@@ -17,7 +17,6 @@ span touches are left to it.  Repeated rows give equal rows; other columns are i
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 
@@ -56,8 +55,15 @@ REACH, AROUND = 80, 1024
 #: Bytes of the identifier dictionary, and identifiers of three letters and a space that fill it.
 DICTIONARY = 32_768
 IDENTIFIERS = DICTIONARY // 4
-#: Compressed bytes that a token adds, as a share of its own, from which it is called incompressible.
-NOVELTY = 0.9
+#: Compressed bytes that a token adds beyond ``SLACK``, which frames vary by, as a share of its own, from which it is called incompressible.
+NOVELTY, SLACK = 0.85, 1
+# Fixed text of ordinary words that every measured frame begins with.
+PRIMER = (
+    "value name config index count request response handler manager service default option parameter message content version number string object result "
+    "error status update create delete select insert first second before after between there would about people other which their information available "
+    "user group client server session cache buffer stream record field table column list item node the and for that with this from have are was not "
+    "function return import class public static private include define package module interface "
+)
 
 
 def mixed(token: str) -> bool:
@@ -120,20 +126,18 @@ class Novelty:
         self.words = words if len(words) <= DICTIONARY else words[-DICTIONARY:].partition(b" ")[2]
 
     def of(self, text: str, start: int, end: int) -> float:
-        """The compressed bytes that the token adds to its surroundings, as a share of its own bytes; 0 for tokens of few different bytes."""
-        token = text[start:end].encode()
-        around = (text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]).encode()
+        """The compressed bytes that the token adds to its surroundings, as a share of its own bytes.
+
+        Both frames hold the surroundings behind ``PRIMER``, which is long enough for entropy coding: letters that are common
+        there cost about half a byte, so that a long name of words that no dictionary has is cheaper than a random string.
+        """
+        before, after = PRIMER + text[max(0, start - AROUND) : start], " " + text[end : end + AROUND]
+        token = text[start:end]
         primed = zstandard.ZstdCompressor(
-            level=9, dict_data=zstandard.ZstdCompressionDict(self.words + b" " + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False
+            level=9, dict_data=zstandard.ZstdCompressionDict(self.words + b" " + PRIMER.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False
         )
-        # small inputs are stored without entropy coding: literals stand for what the dictionary doesn't have
-        added = len(primed.compress(b" " + token + b" ")) - len(primed.compress(b"  "))
-        return added / max(1, len(token)) if entropy(token) >= 3.0 else 0.0
-
-
-def entropy(token: bytes) -> float:
-    n = len(token)
-    return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
+        with_token, without = (len(primed.compress(x.encode("utf-8", "surrogatepass"))) for x in (before + token + after, before + after))
+        return (with_token - without - SLACK) / max(1, len(token.encode("utf-8", "surrogatepass")))
 
 
 def counted_identifiers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
