@@ -5,8 +5,8 @@
 2. Targets: sources in code-point order, null last, weigh ``weights`` in turn and share ``share`` of all words; a
    target stops at ``cap`` times its source, the excess going to the others by weight.
 3. Every source has as many slots as its target needs: whole passes over its blocks, then a part of one more whose
-   last slot is cut to the word.  A pass visits the blocks by a permutation of their indexes, ``(m * a + c) mod n`` with
-   a prime ``a`` that does not divide ``n`` and a pseudorandom ``c``, drawn for each source and pass.
+   last slot is cut to the word.  A pass visits the blocks in a pseudorandom permutation of its own: a block's slot is its
+   rank by the hash of (seed, source, pass, index), found from counts by range of the hash and ranks within a range.
 4. Slots are thrown on the output shards pseudorandomly and independently, so that the counts of each source over the
    shards are a multinomial draw whose total is exactly the source's target; within a shard, slots are ordered by hash.
 5. Slots and blocks are joined by (source, index).
@@ -18,7 +18,7 @@ Everything follows from hashes of the data and ``seed``: reruns agree, whatever
 
 Defined results: null and empty texts have size 0 and are never taken; documents of size 0 alone make targets of 0.
 A null source is a source.  Repeated rows are documents of their own.  Null ids are ids that sort first.  An empty
-table gives an empty result.  Other columns are ignored by ``mix``; ``mixed_blocks`` returns only its own.
+table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 #: Slots that one row stands for before they are made.
 CHUNK = 4096
-#: Fixed primes, one of which no index count below their product divides away; below 1e8, so that products fit a long.
-PRIMES = (99999989, 99999971, 99999959, 99999941)
+#: Ranges of the hashes by which a pass's blocks are ranked.
+RANGES = 4096
+#: A word with the white space after it, and at a text's start before it.
+TOKEN = r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
 def hash48(*parts: Column) -> Column:
@@ -41,13 +43,13 @@ def hash48(*parts: Column) -> Column:
 
 
 def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, keep_text: bool = False) -> DataFrame:
-    """Rows as (doc_id, source, size, bucket), and a text's hash or nothing to tell equal ids apart."""
+    """Rows as (doc_id, source, size, bucket), and a row's hash or nothing to tell equal ids apart."""
     text = F.col(text_col).cast("string")
     out = df.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        (F.xxhash64(text) if keep_text else F.lit(0).cast("long")).alias("mark"),
+        (F.xxhash64(F.col(id_col).isNull(), F.col(source_col).isNull(), F.col(source_col).cast("string"), text) if keep_text else F.lit(0).cast("long")).alias("mark"),
         *([text.alias("text")] if keep_text else []),
     )
     return out.withColumn("bucket", (hash48(F.col("doc_id"), F.col("size")) % BUCKETS).cast("int"))
@@ -91,8 +93,8 @@ def packed(docs: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def slots(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
-    """(sid, index, takes, shard, place_hash): every slot of the mix, the block it takes and how many of its words."""
-    n, words = F.col("n"), F.col("words")
+    """(sid, index, takes, shard, slot, place_hash): every slot of the mix, the block it takes and how many of its words."""
+    n = F.col("n")
     plan = (
         sources.filter("source_size > 0")
         .select(
@@ -101,31 +103,36 @@ def slots(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
             F.floor("target").cast("long").alias("words"),
         )
         .withColumn("passes", F.expr("words div source_size"))
-        .withColumn("part", words - F.col("passes") * F.col("source_size"))
+        .withColumn("part", F.col("words") - F.col("passes") * F.col("source_size"))
         .withColumn("last", F.col("source_size") - (n - 1) * block)
         # a part pass meets the short last block at most once, and so needs at most one slot more
         .withColumn("count", F.col("passes") * n + F.when(F.col("part") > 0, F.least(n, F.ceil(F.col("part") / block).cast("long") + 1)).otherwise(0))
         .filter("count > 0")
     )
     shards = F.greatest(F.lit(1), F.ceil(F.sum("count").over(Window.partitionBy()) / shard_slots).cast("long"))
-    chunks = plan.withColumn("shards", shards).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(count - 1) div {CHUNK}"))))
-    each = (
+    chunks = plan.withColumn("shards", shards).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}"))))
+    blocks = (
         chunks.repartition("sid", "chunk")
-        .withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("count"), (F.col("chunk") + 1) * CHUNK) - 1)))
-        .withColumn("pass", F.expr("slot div n"))
-        .withColumn("m", F.col("slot") % n)
-        .withColumn("at_last", hash48(F.lit(seed), F.col("sid"), F.col("pass")) % n)
+        .withColumn("index", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(n, (F.col("chunk") + 1) * CHUNK) - 1)))
+        .withColumn("pass", F.explode(F.expr("sequence(0L, passes - if(part > 0, 0, 1))")))
+        .withColumn("drawn", hash48(F.lit(seed), F.col("sid"), F.col("pass"), F.col("index")))
+        .withColumn("range", F.expr(f"drawn div {(1 << 48) // RANGES}"))
     )
-    first = F.col("sid") + F.col("pass")
-    prime = F.coalesce(*(F.when(n % F.lit(p) != 0, F.lit(p).cast("long")) for p in PRIMES))
-    turned = F.coalesce(*(F.when((first % len(PRIMES) == i) & (n % F.lit(p) != 0), F.lit(p).cast("long")) for i, p in enumerate(PRIMES)), prime)
-    # the short last block comes at place at_last of its pass: c is chosen so
-    each = each.withColumn("a", turned % n).withColumn("index", F.pmod((F.col("m") - F.col("at_last")) * F.col("a") + n - 1, n))
+    counts = blocks.groupBy("sid", "pass", "range").agg(F.count("*").alias("own"))
+    earlier = Window.partitionBy("sid", "pass").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("sid", "pass", "range", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("sid", "pass", "range").orderBy("drawn", "index"))
+    ranked = blocks.join(starts.hint("merge"), ["sid", "pass", "range"]).withColumn("m", F.col("first") + rank - 1)
+    # the short last block: a row for each source and pass
+    short = ranked.filter("index = n - 1").select("sid", "pass", F.col("m").alias("at_last"))
+    each = ranked.join(short, ["sid", "pass"])
     before = F.col("m") * block - F.when(F.col("m") > F.col("at_last"), block - F.col("last")).otherwise(0)
     whole = F.when(F.col("index") == n - 1, F.col("last")).otherwise(block)
     takes = F.when(F.col("pass") < F.col("passes"), whole).otherwise(F.least(whole, F.greatest(F.lit(0), F.col("part") - before)))
-    place = F.xxhash64(F.lit(seed), "sid", "slot")
-    return each.select("sid", "index", takes.cast("long").alias("takes"), F.pmod(F.xxhash64(F.lit(seed + 1), "sid", "slot"), "shards").alias("shard"), "slot", place.alias("place_hash")).filter("takes > 0")
+    slot = F.col("pass") * n + F.col("m")
+    thrown = hash48(F.lit(seed + 1), F.col("sid"), F.col("slot"))
+    each = each.withColumn("slot", slot).withColumn("takes", takes.cast("long")).filter("takes > 0").withColumn("thrown", thrown)
+    return each.select("sid", "index", "takes", (F.col("thrown") % F.col("shards")).alias("shard"), "slot", F.expr("thrown div shards").alias("place_hash"))
 
 
 def pieces(rows: DataFrame, block: int) -> DataFrame:
@@ -145,42 +152,65 @@ def mix(
     df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, block: int = 128, shard_slots: int = 4096, seed: int = 17,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): what the mix takes of each document, repeats counted."""
+    """(doc_id, size, source_size, target, taken, n_shards): what the mix takes of each document, repeats counted, and on how
+    many output shards the draw puts it."""
     docs = sized(df, id_col, text_col, source_col)
     sources = source_targets(docs, weights, share, cap)
     rows = packed(docs, sources)
-    taken = taken_pieces(rows, sources, block, shard_slots, seed).groupBy("sid", "bucket", "place").agg(F.sum("n").alias("taken"))
-    return rows.join(taken.hint("merge"), ["sid", "bucket", "place"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = taken_pieces(rows, sources, block, shard_slots, seed).groupBy("sid", "bucket", "place").agg(F.sum("n").alias("taken"), F.size(F.collect_set("shard")).cast("long").alias("n_shards"))
+    both = rows.join(taken.hint("merge"), ["sid", "bucket", "place"], "left")
+    return both.select("doc_id", "size", "source_size", "target", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_shards")))
 
 
-def mixed_blocks(
+def mixed_pieces(
     df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, block: int = 128, shard_slots: int = 4096, seed: int = 17,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """The mixed text: (shard, place_hash, slot, sid, in_block, doc_id, n_words, text), a row for each piece of a slot's block.
+    """(shard, place_hash, slot, sid, in_block, doc_id, begin, n_words, ends, text), a row for each piece of a slot's block.
 
-    Sorting a shard by (place_hash, sid, slot, in_block) gives its words in order.  Texts are shuffled once; the
-    pieces of a document, at most ``cap * (size / block + 2)``, meet it by its row's key.
+    A piece's text has the white space of its document; ``begin`` is its first word's place there, and ``ends`` says that its
+    last word is the document's.  Texts are shuffled once; a document meets all its pieces by the row's hash, and the equal
+    rows of a document that is there several times, which are interchangeable, by number.
     """
     docs = sized(df, id_col, text_col, source_col, keep_text=True)
     bare = docs.drop("text")
     sources = source_targets(bare, weights, share, cap)
-    # the key of a row: equal rows are interchangeable, so that they may be numbered anew beside their texts
-    rows = packed(bare, sources)
-    texts = packed(docs, sources)
-    wanted = taken_pieces(rows, sources, block, shard_slots, seed).select("sid", "bucket", "place", F.struct("shard", "place_hash", "slot", "begin", "in_block", "n").alias("piece"))
-    gathered = wanted.groupBy("sid", "bucket", "place").agg(F.collect_list("piece").alias("pieces"))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    each = texts.join(gathered.hint("merge"), ["sid", "bucket", "place"]).select("sid", "doc_id", words.alias("words"), "pieces").select("sid", "doc_id", "words", F.explode("pieces").alias("p"))
-    text = F.array_join(F.slice("words", F.col("p.begin").cast("int") + 1, F.col("p.n").cast("int")), " ")
-    return each.select("p.shard", "p.place_hash", "p.slot", "sid", "p.in_block", "doc_id", F.col("p.n").alias("n_words"), text.alias("text"))
-
-
-def mix_sql(table: str = "documents", block: int = 128, seed: int = 17) -> str:
-    """DuckDB SQL for ``mix`` with its default parameters: the same hashes, offsets, targets and permutations."""
+    nth = F.row_number().over(Window.partitionBy("sid", "bucket", "doc_id", "mark").orderBy("place"))
+    rows = packed(bare, sources).withColumn("nth", nth)
+    key = F.coalesce("doc_id", F.lit(0).cast("long")).alias("key")
+    marks = rows.select("sid", "bucket", "place", key, "mark", "nth", "size")
+    wanted = taken_pieces(rows, sources, block, shard_slots, seed).join(marks.hint("merge"), ["sid", "bucket", "place"])
+    piece = F.struct("nth", "shard", "place_hash", "slot", "sid", "in_block", "begin", F.col("n").alias("n_words"), (F.col("begin") + F.col("n") == F.col("size")).alias("ends"))
+    gathered = wanted.groupBy("key", "mark").agg(F.collect_list(piece).alias("pieces"))
+    own = F.row_number().over(Window.partitionBy("key", "mark").orderBy("size")).alias("nth")
+    texts = docs.select("doc_id", key, "mark", "size", "text").select("*", own)
+    words = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
+    names = ("shard", "place_hash", "slot", "sid", "in_block", "begin", "n_words", "ends")
+
+    def cut(w):
+        # a text is split once, for all its pieces
+        text = lambda p: F.array_join(F.slice(w, p["begin"].cast("int") + 1, p["n_words"].cast("int")), "")
+        return F.transform(F.filter("pieces", lambda p: p["nth"] == F.col("nth")), lambda p: F.struct(*(p[c].alias(c) for c in names), text(p).alias("text")))
+
+    each = texts.join(gathered.hint("merge"), ["key", "mark"]).select("doc_id", F.explode(F.flatten(F.transform(F.array(words), cut))).alias("p"))
+    return each.select("doc_id", "p.*")
+
+
+def mixed_blocks(df: DataFrame, **parameters) -> DataFrame:
+    """The mixed text, a row for each slot: (shard, place_hash, sid, slot, doc_ids, n_words, text).
+
+    Blocks have ``block`` words, but for the last one of a source's stream and the last one that its target takes.  A line feed
+    parts documents.  Sorting a shard by (place_hash, sid, slot) gives its order.  Parameters are those of ``mixed_pieces``.
+    """
+    pieces = mixed_pieces(df, **parameters)
+    text = F.concat("text", F.when(F.col("ends"), "\n").otherwise(""))
+    held = pieces.groupBy("shard", "place_hash", "sid", "slot").agg(F.sort_array(F.collect_list(F.struct("in_block", "doc_id", text.alias("text")))).alias("held"), F.sum("n_words").alias("n_words"))
+    return held.select("shard", "place_hash", "sid", "slot", F.col("held.doc_id").alias("doc_ids"), "n_words", F.array_join("held.text", "").alias("text"))
+
+
+def mix_sql(table: str = "documents", block: int = 128, shard_slots: int = 4096, seed: int = 17) -> str:
+    """DuckDB SQL for ``mix`` with its default parameters: the same hashes, offsets, targets, permutations and draws."""
     number = "CAST(('0x' || substr(md5({0}), 1, 12)) AS BIGINT)"
-    primes = " ".join(f"WHEN (sid + pass) % {len(PRIMES)} = {i} AND n % {p} != 0 THEN {p}" for i, p in enumerate(PRIMES))
-    spare = " ".join(f"WHEN n % {p} != 0 THEN {p}" for p in PRIMES)
     return f"""
 WITH docs AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM {table}),
@@ -202,20 +232,24 @@ started AS (
 plan AS (
   SELECT sid, source_size, (source_size + {block - 1}) // {block} AS n, CAST(floor(target) AS BIGINT) // source_size AS passes,
     CAST(floor(target) AS BIGINT) % source_size AS part, source_size - ((source_size + {block - 1}) // {block} - 1) * {block} AS last FROM targets WHERE source_size > 0),
-slotted AS (
-  SELECT *, unnest(range(0, passes * n + CASE WHEN part > 0 THEN least(n, (part + {block - 1}) // {block} + 1) ELSE 0 END)) AS slot FROM plan),
-passed AS (SELECT *, slot // n AS pass, slot % n AS m FROM slotted),
+counted AS (
+  SELECT *, passes * n + CASE WHEN part > 0 THEN least(n, (part + {block - 1}) // {block} + 1) ELSE 0 END AS slots FROM plan),
+blocks AS (
+  SELECT *, unnest(range(0, n)) AS index FROM (
+    SELECT *, unnest(range(0, passes + CASE WHEN part > 0 THEN 1 ELSE 0 END)) AS pass,
+      greatest(1, (CAST(sum(slots) OVER () AS BIGINT) + {shard_slots - 1}) // {shard_slots}) AS shards FROM counted WHERE slots > 0)),
 turned AS (
-  SELECT *, {number.format(f"'{seed}:' || CAST(sid AS VARCHAR) || ':' || CAST(pass AS VARCHAR)")} % n AS at_last,
-    (CASE {primes} {spare} END) % n AS a FROM passed),
-indexed AS (SELECT *, (((m - at_last) * a + n - 1) % n + n) % n AS index FROM turned),
+  SELECT *, row_number() OVER (PARTITION BY sid, pass ORDER BY {number.format(f"'{seed}:' || CAST(sid AS VARCHAR) || ':' || CAST(pass AS VARCHAR) || ':' || CAST(index AS VARCHAR)")}, index) - 1 AS m FROM blocks),
+placed_last AS (SELECT *, max(CASE WHEN index = n - 1 THEN m END) OVER (PARTITION BY sid, pass) AS at_last FROM turned),
 takes AS (
-  SELECT sid, index, CASE WHEN pass < passes THEN whole ELSE least(whole, greatest(0, part - (m * {block} - CASE WHEN m > at_last THEN {block} - last ELSE 0 END))) END AS takes
-  FROM (SELECT *, CASE WHEN index = n - 1 THEN last ELSE {block} END AS whole FROM indexed)),
+  SELECT sid, index, {number.format(f"'{seed + 1}:' || CAST(sid AS VARCHAR) || ':' || CAST(pass * n + m AS VARCHAR)")} % shards AS shard,
+    CASE WHEN pass < passes THEN whole ELSE least(whole, greatest(0, part - (m * {block} - CASE WHEN m > at_last THEN {block} - last ELSE 0 END))) END AS takes
+  FROM (SELECT *, CASE WHEN index = n - 1 THEN last ELSE {block} END AS whole FROM placed_last)),
 cut AS (SELECT row, sid, start, size, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) AS index FROM started WHERE size > 0),
 pieces AS (
   SELECT row, sid, index, greatest(start, index * {block}) - index * {block} AS in_block, least(start + size, (index + 1) * {block}) - greatest(start, index * {block}) AS n FROM cut),
 got AS (
-  SELECT p.row, CAST(sum(greatest(0, least(p.n, t.takes - p.in_block))) AS BIGINT) AS taken FROM pieces p JOIN takes t ON p.sid = t.sid AND p.index = t.index GROUP BY p.row)
-SELECT s.doc_id, s.size, s.source_size, s.target, coalesce(g.taken, 0) AS taken FROM started s LEFT JOIN got g ON s.row = g.row
+  SELECT p.row, CAST(sum(least(p.n, t.takes - p.in_block)) AS BIGINT) AS taken, count(DISTINCT t.shard) AS n_shards
+  FROM pieces p JOIN takes t ON p.sid = t.sid AND p.index = t.index AND t.takes > p.in_block GROUP BY p.row)
+SELECT s.doc_id, s.size, s.source_size, s.target, coalesce(g.taken, 0) AS taken, coalesce(g.n_shards, 0) AS n_shards FROM started s LEFT JOIN got g ON s.row = g.row
 """
