@@ -116,6 +116,7 @@ def test_config_and_dependencies(spark, tree):
 def test_log_and_diff(spark, monkeypatch):
     log = "\x1eaaa\x1fann\x1f100\n\nx.py\ny.py\n\x1ebbb\x1fbob\x1f200\n\nx.py\n\x1ebroken\n"
     assert {tuple(r) for r in logs.commits(spark, log).collect()} == {("aaa", "ann", 100, "x.py"), ("aaa", "ann", 100, "y.py"), ("bbb", "bob", 200, "x.py")}
+    assert {r.file for r in logs.commits(spark, "\x1eccc\x1fann\x1f300\n\n0a0\n1b1\n").collect()} == {"0a0", "1b1"}
     diff = ["diff --git a/x b/x", "--- a/x", "+++ b/x", "@@ -1,2 +1,3 @@ f", "+a", "--- a/none", "@@ -9 +10,0 @@", "--- a/z", "+++ b/z", "@@ -0,0 +1 @@"]
     diff += ["--- a/gone", "+++ /dev/null", "@@ -1,4 +0,0 @@", "--- /dev/null", '+++ "b/t\\tb.py"', "@@ -0,0 +5,2 @@", "--- nothing", "+++ known", "@@ -1 +1 @@"]
     want = {("x", "x", 1, 2, 1, 3), ("x", "x", 9, 9, 10, 9), ("z", "z", 0, -1, 1, 1), ("gone", None, 1, 4, 0, -1), (None, "t\tb.py", 0, -1, 5, 6), (None, None, 1, 1, 1, 1)}

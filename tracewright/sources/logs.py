@@ -29,7 +29,7 @@ def commits(spark: SparkSession, text: str) -> DataFrame:
     head = F.split(F.substring_index("record", "\n", 1), "\x1f")
     body = F.filter(F.slice(F.split("record", r"\r?\n"), F.lit(2), F.size(F.split("record", r"\r?\n"))), lambda x: F.trim(x) != "")
     whole = records.filter(F.size(head) == 3)
-    return whole.select(head[0].alias("sha"), head[1].alias("author"), head[2].cast("long").alias("ts"), F.explode(F.transform(body, F.trim)).alias("file")).distinct()
+    return whole.select(head[0].alias("sha"), head[1].alias("author"), head[2].cast("long").alias("ts"), F.explode(F.transform(body, lambda x: F.trim(x))).alias("file")).distinct()
 
 
 #: Lines of a diff between which its file headers are carried in one task.
