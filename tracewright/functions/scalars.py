@@ -162,6 +162,11 @@ def marked_regions(text: Column) -> Column:
     return F.transform(whole, lambda r: F.struct(F.regexp_extract(r, pattern, 1).alias("kind"), F.regexp_extract(r, pattern, 2).alias("name"), F.regexp_extract(r, pattern, 3).alias("body")))
 
 
+def marked_text(kind: str, name: str, body: str) -> str:
+    """One region as ``marked_regions`` reads it."""
+    return f"<!-- begin:{kind} {name} -->\n{body}\n<!-- end:{kind} -->"
+
+
 def is_test_file(path: Column) -> Column:
     """File-name and folder conventions of tests across languages."""
     return any_of(

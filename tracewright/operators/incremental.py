@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -54,3 +55,52 @@ def current(spark, folder: str, table: str) -> DataFrame:
     """A table of the newest published generation."""
     name = spark.read.schema("generation string, tables string").json(f"{folder}/manifest").first().generation
     return spark.read.parquet(f"{folder}/{name}/{table}")
+
+
+#: Seconds after which a lock counts as left behind, and between two tries to take one.
+STALE_AFTER, POLL = 300.0, 0.1
+
+
+class Busy(RuntimeError):
+    """Another update holds the lock and did not give it back in time."""
+
+
+class UpdateLock:
+    """One update at a time of what lies in a folder of any file system that Spark writes to: a file that is made only if it is not there."""
+
+    def __init__(self, spark, folder: str, wait: float = 10.0, stale_after: float = STALE_AFTER):
+        jvm = spark.sparkContext._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/update.lock")
+        self.files = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.wait, self.stale_after, self.token = wait, stale_after, uuid.uuid4().hex
+
+    def _taken(self) -> bool:
+        try:
+            out = self.files.create(self.path, False)
+        except Exception as e:  # noqa: BLE001  the file system's own error says that the file is there
+            if self.files.exists(self.path):
+                return False
+            raise RuntimeError(f"no lock can be made at {self.path}") from e
+        out.write(bytearray(self.token.encode()))
+        out.close()
+        return True
+
+    def _left_behind(self) -> bool:
+        try:
+            return time.time() - self.files.getFileStatus(self.path).getModificationTime() / 1000 > self.stale_after
+        except Exception:  # noqa: BLE001  it has just gone: the next try takes it
+            return False
+
+    def __enter__(self) -> UpdateLock:
+        until = time.monotonic() + self.wait
+        while not self._taken():
+            if self._left_behind():
+                self.files.delete(self.path, False)
+            elif time.monotonic() >= until:
+                raise Busy(f"another update holds {self.path}")
+            else:
+                time.sleep(POLL)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.files.delete(self.path, False)
