@@ -100,6 +100,32 @@ def test_resolution_and_routes(spark, parsed):
     assert {(r.method, r.path, r.handler) for r in code.routes(table).collect()} == {("GET", "/x", "app.handler"), ("POST", "/x", "app.handler")}
 
 
+def test_calls_by_type_and_ancestor(spark):
+    base = "class Base:\n    def save(self):\n        return 1\n\n    def load(self):\n        return self.save()\n"
+    user = "from lib.base import Base\n\n\nclass Mid(Base):\n    pass\n\n\nclass Leaf(Mid):\n    def load(self):\n        self.save()\n        return super().load()\n\n\ndef run(x: Leaf):\n    x.load()\n    x.save()\n    y = Base()\n    y.save()\n    q.only_here()\n\n\ndef only_here():\n    return 0\n"
+    parsed = code.parse_files(spark.createDataFrame([("lib/base.py", "python", base), ("lib/user.py", "python", user)], "path string, language string, text string"))
+    edges = {(r.src, r.dst): (r.confidence, r.resolution) for r in code.call_edges(code.symbols(parsed), parsed).collect()}
+    assert edges["lib.base.Base.load", "lib.base.Base.save"] == ("high", "resolved") and edges["lib.user.Leaf.load", "lib.base.Base.save"] == ("medium", "resolved")
+    assert edges["lib.user.Leaf.load", "lib.base.Base.load"] == ("medium", "resolved") and edges["lib.user.run", "lib.user.Leaf.load"] == ("medium", "resolved")
+    assert edges["lib.user.run", "lib.base.Base.save"] == ("medium", "resolved") and edges["lib.user.run", "lib.user.only_here"] == ("low", "name")
+    assert edges["lib.user.run", "lib.base.Base"] == ("high", "resolved")
+
+
+def test_unused_imports_and_missing_awaits():
+    text = "import os\nimport sys as sys\nimport re, json\nfrom a import b, c as d\nfrom e import *\n__all__ = ['d']\n\n\nasync def go(x: 'json.Any'):\n    go(1)\n    await go(2)\n    y = go(3)\n\n\ndef plain():\n    go(4)\n    re.compile('x')\n"
+    found = {(s["kind"], s["line"], s["detail"]) for s in code.parse_python("m.py", text)["smells"]}
+    assert {f for f in found if f[0] in ("unused_import", "missing_await")} == {("unused_import", 1, "os"), ("unused_import", 4, "b"), ("missing_await", 10, "go")}
+
+
+def test_folders_languages_and_sizes(spark, tmp_path):
+    for name, text in {"a.rs": "fn main() {}", "vendor/b.py": "x = 1", "target/c.py": "x = 1", "run": "#!/usr/bin/env bash\nls", "tool": "#!/bin/sh\nls", "big.go": "package a" + " " * 5000, "env.py": "x = 1"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r.path: r.language for r in files.discover(spark, str(tmp_path), most_bytes=1000).collect()}
+    assert got == {"a.rs": "rust", "run": "shell", "tool": "shell", "env.py": "python"}
+    assert [(r.path, r.size) for r in files.oversize(spark, str(tmp_path), 1000).collect()] == [("big.go", 5009)]
+
+
 def test_decoding():
     assert files.decode_bytes("é".encode()) == files.decode_bytes("é".encode("cp1252") * 5)[:1] == "é"
     assert files.decode_bytes(b"# coding: latin-1\n\xe9").endswith("é") and files.decode_bytes(b"\xef\xbb\xbfx") == "x" and files.decode_bytes(None) is None

@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.session import ship
@@ -25,11 +25,13 @@ RISKY = {"eval", "exec", "os.system", "pickle.loads", "yaml.load"}
 
 
 def dotted(node: ast.AST) -> str | None:
-    """``a.b.c`` of a name or attribute chain."""
+    """``a.b.c`` of a name or attribute chain, which may begin with a call of ``super``."""
     parts = []
     while isinstance(node, ast.Attribute):
         parts.append(node.attr)
         node = node.value
+    if parts and isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "super":
+        return ".".join(["super()", *reversed(parts)])
     return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
 
 
@@ -109,6 +111,35 @@ def support_blocks(blocks: DataFrame, files: DataFrame) -> DataFrame:
     return both.mapInPandas(run, "file string, lo int, hi int, start int, end int, name string")
 
 
+def unused_imports(tree: ast.AST) -> list[tuple[str, int, str]]:
+    """Names that a module imports and neither uses nor lists in ``__all__``; an alias that repeats its name is meant for others."""
+    listed = {c.value for n in ast.walk(tree) if isinstance(n, (ast.Assign, ast.AugAssign)) and "__all__" in map(dotted, getattr(n, "targets", [getattr(n, "target", None)])) for c in ast.walk(n.value) if isinstance(c, ast.Constant)}
+    used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} | listed
+    # names inside annotations that are written as texts
+    used |= {w for n in ast.walk(tree) if isinstance(n, ast.Constant) and isinstance(n.value, str) and len(n.value) < 200 for w in re.findall(r"[A-Za-z_]\w*", n.value)}
+    out = []
+    for n in getattr(tree, "body", []):
+        if isinstance(n, (ast.Import, ast.ImportFrom)) and getattr(n, "module", "") != "__future__":
+            for a in n.names:
+                name = a.asname or a.name.split(".")[0]
+                if a.name != "*" and a.asname != a.name and name not in used:
+                    out.append(("unused_import", n.lineno, name))
+    return out
+
+
+def missing_awaits(tree: ast.AST) -> list[tuple[str, int, str]]:
+    """Calls of the module's own coroutines, by bare name or on ``self``, that stand alone inside another coroutine."""
+    own = {n.name for n in ast.walk(tree) if isinstance(n, ast.AsyncFunctionDef)} - {n.name for n in ast.walk(tree) if isinstance(n, ast.FunctionDef)}
+    out = []
+    for f in ast.walk(tree):
+        if isinstance(f, ast.AsyncFunctionDef):
+            for n in inside(f):
+                name = dotted(n.value.func) if isinstance(n, ast.Expr) and isinstance(n.value, ast.Call) else None
+                if name and name.removeprefix("self.") in own:
+                    out.append(("missing_await", n.lineno, name))
+    return out
+
+
 def smells(tree: ast.AST, text: str) -> list[dict]:
     out = []
     for n in ast.walk(tree):
@@ -136,6 +167,7 @@ def smells(tree: ast.AST, text: str) -> list[dict]:
                 out.append(("dangerous_call", line, name))
             if name.endswith(".execute") and n.args and isinstance(n.args[0], (ast.JoinedStr, ast.BinOp)):
                 out.append(("sql_formatting", line, name))
+    out += unused_imports(tree) + missing_awaits(tree)
     for i, line in enumerate(text.splitlines(), 1):
         if m := re.search(r"#.*\b(TODO|FIXME|XXX)\b", line):
             out.append(("todo", i, m[1]))
@@ -264,29 +296,59 @@ def symbols(parsed: DataFrame, module: str = "module") -> DataFrame:
     return named.withColumn("visibility", F.when(is_private(F.col("id")), "private").otherwise("public"))
 
 
-def call_edges(table: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(src, dst, confidence, resolution): calls resolved by their own class, by imported names, then by unique names.
+def call_edges(table: DataFrame, parsed: DataFrame, depth: int = 8) -> DataFrame:
+    """(src, dst, confidence, resolution, line): calls resolved by the receiver's type, by their own class and its ancestors, by local and
+    imported names, then by unique names.
 
-    Each rule is a join; the first that answers for a call wins.
+    Each rule is a join; the first that answers for a call wins.  Inherited methods are looked for ``depth`` classes up, the
+    nearest one first.
     """
-    from tracewright.operators.relations import first_rule
-
-    made = table.select(F.col("id").alias("src"), "module", F.col("parent").alias("owner"), F.explode("calls").alias("c")).select("src", "module", "owner", F.col("c.target").alias("target"), F.col("c.line").alias("line"))
-    own = made.filter(F.col("target").rlike(r"^self\.\w+$")).select("src", "target", "line", F.concat_ws(".", "module", "owner", F.regexp_extract("target", r"(\w+)$", 1)).alias("dst"))
-    local = made.select("src", "target", "line", F.concat_ws(".", "module", "target").alias("dst"))
     from tracewright.functions.scalars import module_name
+    from tracewright.operators.relations import ancestors, first_rule
 
-    bound = parsed.select(module_name(F.col("path")).alias("module"), F.explode("imports").alias("i")).filter("i.name IS NOT NULL")
-    names = bound.select("module", F.coalesce("i.alias", "i.name").alias("head"), F.concat_ws(".", "i.module", "i.name").alias("full"))
-    imported = made.withColumn("head", F.substring_index("target", ".", 1)).join(names, ["module", "head"]).select("src", "target", "line", F.concat("full", F.expr("substring(target, length(head) + 1)")).alias("dst"))
+    made = table.select(F.col("id").alias("src"), "module", F.col("parent").alias("owner"), "local_types", F.explode("calls").alias("c")).select("src", "module", "owner", "local_types", F.col("c.target").alias("target"), F.col("c.line").alias("line"))
+    bound = parsed.select(module_name(F.col("path")).alias("module"), F.explode("imports").alias("i"))
+    names = bound.filter("i.name IS NOT NULL").select("module", F.coalesce("i.alias", "i.name").alias("head"), F.concat_ws(".", "i.module", "i.name").alias("full"))
     ids = table.select(F.col("id").alias("dst"))
+
+    def resolved(refs: DataFrame, ref: str) -> DataFrame:
+        """``refs`` with ``dst``: what a name written in a module stands for, its own definitions before imported ones."""
+        keys = refs.columns
+        local = refs.withColumn("dst", F.concat_ws(".", "module", ref))
+        imported = refs.withColumn("head", F.substring_index(ref, ".", 1)).join(names, ["module", "head"])
+        imported = imported.withColumn("dst", F.concat("full", F.expr(f"substring({ref}, length(head) + 1)"))).select(*keys, "dst")
+        return first_rule([r.join(ids, "dst", "left_semi").select(*keys, "dst") for r in (local, imported)], keys).select(*keys, "dst")
+
+    classes = table.filter("kind = 'class'").select(F.col("id").alias("cls"), "module", "bases")
+    kinds = classes.select(F.col("cls").alias("dst"))
+    bases = resolved(classes.select("cls", "module", F.explode("bases").alias("ref")), "ref").join(kinds, "dst", "left_semi").select("cls", F.col("dst").alias("base"))
+    above = ancestors(bases, "cls", "base", depth).filter("node != ancestor")
+    methods = table.filter("kind = 'method'").select(F.concat_ws(".", "module", "parent").alias("ancestor"), F.col("name").alias("method"), F.col("id").alias("dst"))
+    nearest = F.row_number().over(Window.partitionBy("cls", "method").orderBy("distance", "ancestor"))
+    inherited = above.join(methods, "ancestor").withColumnRenamed("node", "cls").withColumn("p", nearest).filter("p = 1").select("cls", "method", "dst")
+    own = methods.withColumnRenamed("ancestor", "cls")
+    call = ["src", "target", "line"]
+    first, second = F.substring_index("target", ".", 1), F.regexp_extract("target", r"^[^.]+\.(\w+)$", 1)
+    two = made.withColumn("head", first).withColumn("method", second).filter("method != ''")
+    typed = two.withColumn("type", F.col("local_types")[F.col("head")]).filter("type IS NOT NULL").select(*call, "module", "method", "type")
+    typed = resolved(typed, "type").join(kinds, "dst", "left_semi").select(*call, "method", F.col("dst").alias("cls"))
+    owned = two.filter(F.col("owner").isNotNull() & F.col("head").isin("self", "cls", "this", "super()")).select(*call, "head", "method", F.concat_ws(".", "module", "owner").alias("cls"))
+    mine = owned.filter("head != 'super()'")
     unique = table.filter("kind != 'class'").groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("dst")).filter("n = 1")
-    by_name = made.withColumn("name", F.regexp_extract("target", r"(\w+)$", 1)).join(unique, "name").select("src", "target", "line", "dst")
-    rules = [r.join(ids, "dst", "left_semi") for r in (own.select("src", "target", "line", "dst"), local, imported)] + [by_name]
-    best = first_rule([r.select("src", "target", "line", "dst") for r in rules], ["src", "target", "line"])
-    confidence = F.element_at(F.array(*map(F.lit, ("high", "high", "high", "low"))), F.col("rule") + 1)
-    edges = best.select("src", "dst", confidence.alias("confidence"), F.when(F.col("rule") == 3, "name").otherwise("resolved").alias("resolution"), "line")
-    return edges.groupBy("src", "dst").agg(F.min(F.struct(F.when(F.col("confidence") == "high", 0).otherwise(2).alias("r"), "line", "confidence", "resolution")).alias("m")).select("src", "dst", "m.confidence", "m.resolution", "m.line")
+    free = two.filter(~F.col("head").isin("self", "cls", "this", "super()") & ~F.col("method").startswith("__")).join(names.select("module", "head"), ["module", "head"], "left_anti")
+    rules = [
+        (typed.join(own, ["cls", "method"]), "medium"),
+        (typed.join(inherited, ["cls", "method"]), "medium"),
+        (mine.join(own, ["cls", "method"]), "high"),
+        (owned.join(inherited, ["cls", "method"]), "medium"),
+        (resolved(made.select(*call, "module"), "target"), "high"),
+        (free.withColumnRenamed("method", "name").join(unique, "name"), "low"),
+    ]
+    best = first_rule([r.select(*call, "dst") for r, _ in rules], call)
+    confidence = F.element_at(F.array(*(F.lit(c) for _, c in rules)), F.col("rule") + 1)
+    edges = best.select("src", "dst", confidence.alias("confidence"), F.when(F.col("rule") == len(rules) - 1, "name").otherwise("resolved").alias("resolution"), "line")
+    weight = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
+    return edges.groupBy("src", "dst").agg(F.min(F.struct(weight.alias("r"), "line", "confidence", "resolution")).alias("m")).select("src", "dst", "m.confidence", "m.resolution", "m.line")
 
 
 def routes(table: DataFrame) -> DataFrame:

@@ -12,16 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tracewright.functions.scalars import any_of, looks_minified
+from tracewright.functions.scalars import looks_minified
 from tracewright.session import ship
 
 # Languages by extension and by interpreter.
 EXTENSIONS = {
-    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript",
-    "go": "go", "java": "java", "dart": "dart", "kt": "kotlin", "kts": "kotlin", "swift": "swift",
+    "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript",
+    "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "dart": "dart", "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp", "c": "c", "h": "c",
+    "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "swift": "swift", "scala": "scala", "sh": "shell", "bash": "shell", "sql": "sql",
 }
-INTERPRETERS = {"python": "python", "node": "javascript", "deno": "typescript"}
-IGNORED = ("/.git/", "/node_modules/", "/__pycache__/", "/.venv/", "/dist/", "/build/")
+INTERPRETERS = {"python": "python", "node": "javascript", "bash": "shell", "sh": "shell", "ruby": "ruby", "deno": "typescript"}
+# Folders of tools, builds and other people's code.
+IGNORED = (
+    ".git", ".hg", ".svn", ".dart_tool", ".gradle", "Pods", "DerivedData", ".venv", "venv", "env", ".env", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache",
+    ".tox", ".nox", "build", "dist", ".eggs", "site-packages", ".idea", ".vscode", "target", ".next", ".nuxt", "coverage", "htmlcov", "vendor",
+)
 TEXT_EXTENSIONS = ("md", "rst", "txt", "toml", "yaml", "yml", "json", "ini", "cfg", "html", "css", "sql", "sh")
 LOCKFILES = ("package-lock.json", "poetry.lock", "uv.lock", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock")
 
@@ -38,10 +43,12 @@ def language(path: Column, content: Column) -> Column:
     out = F.lit(None).cast("string")
     for known, name in EXTENSIONS.items():
         out = F.when(extension == known, name).otherwise(out)
-    first = F.decode(F.substring(content, 1, 128), "UTF-8")
-    for known, name in INTERPRETERS.items():
-        out = F.when(out.isNull() & first.rlike(rf"^#!.*\b{known}"), name).otherwise(out)
-    return out
+    # the interpreter's own name, or what ``env`` is asked for
+    first = F.regexp_extract(F.decode(F.substring(content, 1, 128), "UTF-8"), r"^#!\s*(?:\S*/)?(?:env\s+)?(?:\S*/)?([A-Za-z]+)", 1)
+    named = F.lit(None).cast("string")
+    for known, name in reversed(INTERPRETERS.items()):
+        named = F.when(first.startswith(known), name).otherwise(named)
+    return F.when(extension == "", F.coalesce(out, named)).otherwise(out)
 
 
 class IgnoreRules:
@@ -85,7 +92,7 @@ def discover(spark: SparkSession, root: str, most_bytes: int = 1 << 20, rules: I
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= most_bytes)
     path = relative(root)
     named = raw.select(path.alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"), "content")
-    ignored = any_of(*(F.contains(F.concat(F.lit("/"), "path"), F.lit(p)) for p in IGNORED))
+    ignored = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED)))
     if rules is not None:
         ignored = ignored | rules.condition(F.col("path"))
     binary = F.instr(F.encode(F.translate(F.decode(F.substring("content", 1, 8192), "ISO-8859-1"), "\0", "\1"), "ISO-8859-1").cast("string"), "\1") > 0
@@ -96,6 +103,13 @@ def discover(spark: SparkSession, root: str, most_bytes: int = 1 << 20, rules: I
     return kept.select("path", "language", "size", F.sha2("content", 256).alias("sha256"), "mtime", "content")
 
 
+def oversize(spark: SparkSession, root: str, most_bytes: int = 1 << 20) -> DataFrame:
+    """(path, size) of the source files that ``discover`` leaves out for their size; their contents are not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") > most_bytes)
+    named = raw.select(relative(root).alias("path"), F.col("length").alias("size"))
+    return named.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED))))
+
+
 def text_files(spark: SparkSession, root: str, most: int = 4000) -> DataFrame:
     """(path, size, sha256, content) of prose and configuration files of 1 byte to 256 KiB, the first in order of their paths."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
