@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -68,8 +69,7 @@ def copies():
 
 def test_forest_join_equals_brute_force(spark, copies):
     df = spark.createDataFrame([(*r, "clash") for r in rows_of(copies)], COLUMNS + ", class_id string")
-    memory = jaccard._Words()
-    sets = {i: set(jaccard.shingles(t, memory).tolist()) for i, t in enumerate(copies)}
+    sets = {i: set(jaccard.shingles(t).tolist()) for i, t in enumerate(copies)}
     pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     got = jaccard.forest_join(df).collect()
     assert {r.doc_id: r.class_id for r in got} == roots(pairs, sets)
@@ -79,14 +79,13 @@ def test_forest_join_equals_brute_force(spark, copies):
     assert kept == set(roots(pairs, sets).values())
 
 
-@pytest.mark.parametrize("chunk", [4, near.CHUNK])
+@pytest.mark.parametrize("chunk", [4, 32, jaccard.CHUNK])
 def test_every_link_of_a_class_counts(spark, monkeypatch, copies, chunk):
-    monkeypatch.setattr(near, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     rnd = random.Random(3)
     base = words(rnd, 150)
     texts = copies + [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in range(5, 145, 7)] + [" ".join(base)] * 2
-    memory = jaccard._Words()
-    sets = {t: set(jaccard.shingles(t, memory).tolist()) for t in texts if t and t.strip()}
+    sets = {t: set(jaccard.shingles(t).tolist()) for t in texts if t and t.strip()}
     links = Counter(x for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for x in (a, b))
     got = jaccard.forest_join(spark.createDataFrame(rows_of(texts), COLUMNS)).collect()
     assert {r.doc_id: r.n_links for r in got} == {i: links[t] for i, t in enumerate(texts)}
@@ -309,9 +308,38 @@ def test_mix_reaches_its_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0 == mixing.mixed_blocks(df.limit(0)).count()
 
 
-def test_primes():
-    for p in mixing.PRIMES:
-        assert all(p % d for d in range(2, int(p**0.5) + 1))
+def test_pieces_join_to_the_texts(spark):
+    rnd = random.Random(9)
+    texts = ["  lead\n\tand " + "".join(w + rnd.choice([" ", "\n", "\n\t", "  "]) for w in words(rnd, n)) for n in (3, 130, 700, 2000)] + ["one", " \n", None, ""]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(1, texts[1], "s")] * 2 + [(None, texts[2], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = defaultdict(dict)
+    for p in mixing.mixed_pieces(df, share=2.0).collect():  # at twice the words, every block is taken twice
+        split = re.findall(mixing.TOKEN, texts[2 if p.doc_id is None else p.doc_id])
+        assert p.text == "".join(split[p.begin : p.begin + p.n_words]) and p.ends == (p.begin + p.n_words == len(split))
+        by[p.sid, p.doc_id][p.begin] = p.text
+    assert set(by) == {(1, i) for i in range(5)} | {(2, None)}
+    once = {k: "".join(v[b] for b in sorted(v)) for k, v in by.items() if k[1] != 1}  # the copies of 1 are cut in other places
+    assert once == {(1, i): texts[i] for i in (0, 2, 3, 4)} | {(2, None): texts[2]}
+    blocks = mixing.mixed_blocks(df, share=2.0).collect()
+    assert all(len(b.text.split()) == b.n_words <= 128 and len(b.doc_ids) == len(set(b.doc_ids)) or 1 in b.doc_ids for b in blocks)
+    assert sum(b.n_words for b in blocks) == 2 * sum(len((t or "").split()) for _, t, _ in rows)
+
+
+def test_permutations_have_no_stride(spark):
+    """Each pass takes every block once; neighbours are as far apart as chance puts them; shards get a multinomial draw."""
+    sources = spark.createDataFrame([(1, 128 * 3000, 128.0 * 6000), (2, 128 * 1000, 128.0 * 1500)], "sid int, source_size long, target double")
+    rows = mixing.slots(sources, 128, 64, 5).collect()
+    for sid, n, passes in ((1, 3000, 2), (2, 1000, 1)):
+        own = sorted((r.slot, r["index"]) for r in rows if r.sid == sid)
+        assert [s for s, _ in own] == list(range(len(own)))
+        orders = [[i for s, i in own if s // n == k] for k in range(passes + (sid == 2))]
+        assert all(sorted(o) == list(range(n)) for o in orders[:passes]) and len(set(map(tuple, orders))) == len(orders)
+        strides = Counter((b - a) % n for a, b in zip(orders[0], orders[0][1:]))
+        assert max(strides.values()) <= 8
+    assert len(rows) == 7500
+    counts = Counter(r.shard for r in rows if r.sid == 2)
+    assert len({r.shard for r in rows}) > 100 and 0.6 < np.var(list(counts.values())) / np.mean(list(counts.values())) < 1.5
 
 
 def test_licences_inherit_from_the_nearest_directory(spark):
@@ -326,6 +354,68 @@ def test_licences_inherit_from_the_nearest_directory(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """# Copyright 2019 Some Body
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice,
+#    this list of conditions and the following disclaimer.
+# 2. Redistributions in binary form must reproduce the above copyright notice,
+#    this list of conditions and the following disclaimer in the documentation
+#    and/or other materials provided with the distribution.
+# 3. Neither the name of the copyright holder nor the names of its contributors
+#    may be used to endorse or promote products derived from this software
+#    without specific prior written permission.
+
+import os
+"""
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+
+int main() { return 0; }
+"""
+
+
+def test_licences_by_text_header_tag_and_directory(spark):
+    code = "def f(x):\n    return x\n\n" * 40
+    rows = [(1, "/a/LICENSE", MIT), (2, "/a/f.py", code), (3, "/b/g.py", BSD + code), (4, "/c/h.py", "# SPDX-License-Identifier: Apache-2.0\n" + code), (5, "/d/m.c", GPL), (6, "/e/x.py", code), (7, "/a/deep/er/f.py", code), (8, "/g/s.c", "// SPDX-License-Identifier: GPL-2.0-or-later\n" + code)]
+    rows += [(i, f"/g/{i}.py", code) for i in range(20, 30)] + [rows[2]]
+    got = {r.doc_id: (r.licence, r.origin) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got[1] == ("MIT", "notice") and got[2] == ("MIT", "directory:/a") == got[7] and got[3] == ("BSD-3-Clause", "notice")
+    assert got[4] == ("Apache-2.0", "notice") and got[5] == ("GPL-3.0", "notice") and got[6] == (None, "none") and got[8] == ("GPL-2.0", "notice")
+
+
+def test_ties_of_licences_go_to_the_first_name(spark):
+    df = spark.createDataFrame([(1, "/a/x", "SPDX-License-Identifier: MIT OR ISC"), (2, "/a/x", "SPDX-License-Identifier: MIT OR ISC"), (3, "/b/x", "long " * 60_000)], "doc_id long, path string, text string")
+    assert {r.doc_id: r.licence for r in licences.scan(df).collect()} == {1: "ISC", 2: "ISC", 3: None}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_with_sql(spark, name):
     same_rows(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLE_SQL[name])

@@ -27,17 +27,28 @@ from pyspark.sql import functions as F
 from tracewright.session import ship
 
 from . import near
-from ._frames import BATCH_BYTES, checkpointed, releasing, slices
+from ._frames import BATCH_BYTES, checkpointed, fresh, releasing
+from .near import GOLDEN, Powers, mix
 
 EDITS, SHARE = 2, 20
 #: Characters from which lines may differ by one edit, by ``EDITS``, and by one in ``SHARE`` characters.
 SHORTEST_NEAR, SHORTEST_TWO, SHORTEST_SHARE = 16, 40, 80
-#: Characters of an n-gram, one in how many of them is kept, and the trees and depth of their signatures.
-GRAM, SAMPLED, TREES, DEPTH = 6, 4, 24, 4
+#: Characters of an n-gram, and the trees and depth of their signatures.
+GRAM, TREES, DEPTH = 6, 24, 4
+#: How often n-grams are thrown at most, and of how many values one may be left empty.
+ROUNDS, SPARE = 8, 8
+#: Lines of a large group in a chunk, rows of small groups in a block, and characters of pairs whose distances are found at once.
+CHUNK, BLOCK_ROWS, CELLS = 1024, 16384, 1 << 21
+#: Slots that a line's runs of three characters are counted in, and pairs of lines whose counts are compared at once.
+SLOTS, PAIRS = 512, 1 << 13
+#: Up to how many lines of each group are held against the others at once, in the first waves and in all later ones.
+WAVES = (1, 23, 64)
+#: Pairs of lines from which a machine word a pair is faster than one pair after another.
+LANES = 40
 #: Characters of lines whose substrings are hashed at once: some 80 bytes of arrays for each.
 KEY_CHARS = 1 << 20
-ODD = 0x9E3779B97F4A7C15
-INVERSE = pow(ODD, -1, 1 << 64)
+#: Last bits of a line's number that the index leaves out; lines that share the rest share candidates.
+SHORT = 23
 
 
 def line_id(line: str) -> int:
@@ -68,87 +79,96 @@ def segment_starts(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.
 class Hashes:
     """Hashes of any substrings of many lines, from one running sum over all of them."""
 
-    def __init__(self, lines: list[str]):
+    def __init__(self, lines: list[str], powers: Powers):
         self.length = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]]) if len(lines) else np.zeros(0, np.int64)
-        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        points = _mix(points + np.uint64(1))
-        powers = np.full(points.size + 1, np.uint64(ODD))
-        powers[:1] = 1
-        inverse = np.full(points.size + 1, np.uint64(INVERSE))
-        inverse[:1] = 1
-        self.inverse = np.multiply.accumulate(inverse)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * np.multiply.accumulate(powers)[:-1], dtype=np.uint64)])
+        self.start = np.cumsum(self.length) - self.length
+        points = mix(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) + np.uint64(1))
+        up, self.down = powers(points.size + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * up[:-1], dtype=np.uint64)])
 
     def of(self, which: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
         a = self.start[which] + offset
-        return _mix((self.sums[a + size] - self.sums[a]) * self.inverse[a])
+        return mix((self.sums[a + size] - self.sums[a]) * self.down[a])
 
+    def runs(self, size: int) -> np.ndarray:
+        """Hashes of the substrings of one length at every place of the joined lines."""
+        return mix((self.sums[size:] - self.sums[:-size]) * self.down[: max(self.sums.size - size, 0)])
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
-
-def line_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, which line has each): the segments that lines index and the substrings that they probe."""
-    hashes = Hashes(lines)
-    every, keys, owners = np.arange(len(lines)), [], []
+def segment_keys(hashes: Hashes, of: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, which line has each): the segments that the lines ``of`` index and the substrings that they probe."""
+    own, keys, owners = hashes.length[of], [], []
     for less in range(edits + 1):
-        length = hashes.length - less  # of the lines that are looked for
+        length = own - less  # of the lines that are looked for
         for i, (start, size) in enumerate(segment_starts(length, edits)):
             low = np.maximum(np.maximum(start - i, start + less - (edits - i)), 0)
-            high = np.minimum(np.minimum(start + i, start + less + (edits - i)), hashes.length - size)
+            high = np.minimum(np.minimum(start + i, start + less + (edits - i)), own - size)
+            tag = mix(np.maximum(length, 0).astype(np.uint64) * np.uint64(64) + np.uint64(i + 1))
             for step in range(2 * edits + 1):
                 at = low + step
-                ok = (at <= high) & (size > 0)
-                if ok.any():
-                    tag = _mix(length[ok].astype(np.uint64) * np.uint64(64) + np.uint64(i + 1))
-                    keys.append(_mix(hashes.of(every[ok], at[ok], size[ok]) + tag))
-                    owners.append(every[ok])
+                ok = np.flatnonzero((at <= high) & (size > 0))
+                if ok.size:
+                    keys.append(mix(hashes.of(of[ok], at[ok], size[ok]) + tag[ok]))
+                    owners.append(of[ok])
     return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def sketch_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, which line has each): a key a tree from the MinHash values of a line's n-grams."""
-    hashes = Hashes(lines)
-    count = np.maximum(hashes.length - GRAM + 1, 0)
-    owner = np.repeat(np.arange(len(lines)), count)
-    grams = hashes.of(owner, np.arange(owner.size) - np.repeat(np.cumsum(count) - count, count), GRAM)
-    kept = grams % np.uint64(SAMPLED) == 0
-    owner, grams = owner[kept], (grams[kept] >> np.uint64(32)).astype(np.uint32)
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    if not first.size:
+def line_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
+    """``segment_keys`` of all of the lines."""
+    return segment_keys(Hashes(lines, Powers(0)), np.arange(len(lines)), edits)
+
+
+def sketch_keys(hashes: Hashes, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, which line has each): a key a tree from the MinHash values of the n-grams of the lines ``of``.
+
+    All n-grams are thrown on the values, of which each keeps its least hash; lines with many empty ones throw theirs again, and
+    the few that are left take what another value has, the same one in every line.
+    """
+    if not of.size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    numbers = (_mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(ODD)) >> np.uint64(16)).astype(np.uint32)
-    keys = []
-    for tree in range(TREES):
-        key = np.full(first.size, np.uint64(tree + 1))
-        for k in range(tree * DEPTH, (tree + 1) * DEPTH):
-            least = np.minimum.reduceat((grams ^ numbers[2 * k]) * (numbers[2 * k + 1] | np.uint32(1)), first)
-            key = _mix(key * np.uint64(ODD) + least)
-        keys.append(key)
-    return np.concatenate(keys), np.tile(owner[first], TREES)
-
-
-def join_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
+    bins, low = TREES * DEPTH, np.uint64(0xFFFFFFFF)
+    count = hashes.length[of] - GRAM + 1
+    owner = np.repeat(np.arange(of.size), count)
+    grams = hashes.runs(GRAM)[np.repeat(hashes.start[of] - np.cumsum(count) + count, count) + np.arange(owner.size)]
+    least = np.full(of.size * bins, ~np.uint64(0))
+    for again in range(ROUNDS):
+        h = mix(grams + np.uint64(again)) if again else grams
+        place = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
+        np.minimum.at(least, owner * bins + place.astype(np.int64), h & low | np.uint64(again << 32))
+        empty = (least == ~np.uint64(0)).reshape(-1, bins)
+        sparse = empty.sum(axis=1) > bins // SPARE
+        if not sparse.any():
+            break
+        some = sparse[owner]
+        grams, owner = grams[some], owner[some]
+    least = least.reshape(-1, bins)
+    line, value = np.nonzero(empty)
+    for again in range(1, 64):
+        if not line.size:
+            break
+        source = (mix(value.astype(np.uint64) * np.uint64(64) + np.uint64(again)) % np.uint64(bins)).astype(np.int64)
+        full = ~empty[line, source]
+        least[line[full], value[full]] = least[line[full], source[full]]
+        line, value = line[~full], value[~full]
+    least[line, value] = least[line].min(axis=1)
+    values = least.reshape(-1, TREES, DEPTH)
+    key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), values.shape[:2])
+    for k in range(DEPTH):
+        key = mix(key * GOLDEN + values[:, :, k])
+    return key.ravel(), np.repeat(of, TREES)
+
+
+def join_keys(lines: list[str], edits: int = EDITS, powers: Powers | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(keys, which line has each) of all that lines of any length index and probe."""
-    length = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    few = min(1, edits)
-    kinds = [
+    hashes = Hashes(lines, powers or Powers(0))
+    length, few = hashes.length, min(1, edits)
+    made = [
         # a partner's greater length still meets the short line's single edit
-        ((length >= SHORTEST_NEAR) & (length < SHORTEST_TWO + few), lambda part: line_keys(part, few)),
-        (length >= SHORTEST_TWO, lambda part: line_keys(part, edits)),
-        (length >= SHORTEST_SHARE, sketch_keys),
+        segment_keys(hashes, np.flatnonzero((length >= SHORTEST_NEAR) & (length < SHORTEST_TWO + few)), few),
+        segment_keys(hashes, np.flatnonzero(length >= SHORTEST_TWO), edits),
+        sketch_keys(hashes, np.flatnonzero(length >= SHORTEST_SHARE)),
     ]
-    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for wanted, make in kinds:
-        at = np.flatnonzero(wanted)
-        found, of = make([lines[i] for i in at])
-        keys.append(found)
-        owners.append(at[of])
-    return np.concatenate(keys), np.concatenate(owners)
+    return tuple(np.concatenate(c) for c in zip(*made, strict=True))
 
 
 def similar(a: str, b: str, edits: int = EDITS) -> bool:
@@ -188,6 +208,251 @@ def within(a: str, b: str, edits: int) -> bool:
     return distance <= edits
 
 
+def run_counts(lines: list[str]) -> np.ndarray:
+    """How many runs of three characters each line has, by slot."""
+    out = np.zeros((len(lines), SLOTS), np.int16 if max(map(len, lines), default=0) < 1 << 14 else np.int32)
+    for start in range(0, len(lines), 1024):
+        part = lines[start : start + 1024]
+        points = np.frombuffer("\n".join([*part, "\n"]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        slot = ((points[:-2] * np.uint32(0x9E3779B1) + points[1:-1] * np.uint32(0x85EBCA6B) + points[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(23)).astype(np.int64)
+        of = np.repeat(np.arange(len(part)), np.fromiter(map(len, part), np.int64, len(part)) + 1)[: slot.size]
+        inside = (points[:-2] != 10) & (points[1:-1] != 10) & (points[2:] != 10)
+        out[start : start + 1024] = np.bincount((of * SLOTS + slot)[inside], minlength=len(part) * SLOTS).reshape(-1, SLOTS)
+    return out
+
+
+def may_be_within(counts: np.ndarray, a: np.ndarray, b: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Whether the counts of runs allow so few edits: each edit takes at most three runs away and brings three."""
+    out = np.zeros(a.size, bool)
+    for start in range(0, a.size, PAIRS):
+        at = slice(start, start + PAIRS)
+        more = counts[a[at]] - counts[b[at]]
+        both, change = np.abs(more).sum(axis=1, dtype=np.int64), more.sum(axis=1, dtype=np.int64)
+        out[at] = both + np.abs(change) <= 6 * edits[at]  # twice the larger one of what goes and what comes
+    return out
+
+
+def _same_ends(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading items two arrays share."""
+    n = min(a.size, b.size)
+    if not n:
+        return 0
+    differ = a[:n] != b[:n]
+    first = int(differ.argmax())
+    return first if differ[first] else n
+
+
+def within_many(points: list[np.ndarray], a: np.ndarray, b: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """``within`` for many pairs (a, b) of lines at once, each up to its own edits; lines are arrays of code points.
+
+    Common beginnings and ends are cut off.  What is left goes through bands of one, two or four machine words, many pairs at a
+    time; few pairs, and wider bands, are ``within``'s.
+    """
+    out = np.zeros(a.size, bool)
+    todo, left, right = [], [], []
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = points[i], points[j]
+        if x.size > y.size:
+            x, y = y, x
+        if y.size - x.size > edits[k]:
+            continue
+        same = _same_ends(x, y)
+        x, y = x[same:], y[same:]
+        same = _same_ends(x[::-1], y[::-1])
+        x, y = x[: x.size - same], y[: y.size - same]
+        if y.size <= edits[k]:
+            out[k] = True  # no more edits than characters are left
+        else:
+            todo.append(k)
+            left.append(x)
+            right.append(y)
+    need = edits[np.array(todo, np.int64)]
+    for words, least, most in ((1, 0, 31), (2, 32, 63), (4, 64, 127)):
+        own = np.flatnonzero((need >= least) & (need <= most))
+        if own.size < LANES:
+            continue
+        for at in _batches(own, right):
+            distance = _banded([left[k] for k in at], [right[k] for k in at], words)
+            for k, d in zip(at, distance, strict=True):
+                out[todo[k]] = d <= need[k]
+                todo[k] = -1
+    for k, x, y in zip(todo, left, right, strict=True):
+        if k >= 0:
+            out[k] = within(x.tolist(), y.tolist(), int(edits[k]))
+    return out
+
+
+def _batches(own: np.ndarray, right: list[np.ndarray]):
+    """The pairs by the longer line's length, as many at a time as ``CELLS`` allow."""
+    length = np.fromiter((right[k].size for k in own), np.int64, own.size)
+    order = np.argsort(length, kind="stable")
+    start = 0
+    while start < own.size:
+        end = start + 1
+        while end < own.size and (end - start + 1) * int(length[order[end]]) <= CELLS:
+            end += 1
+        yield own[order[start:end]].tolist()
+        start = end
+
+
+def _equalities(left: list[np.ndarray], right: list[np.ndarray], words: int) -> np.ndarray:
+    """(place, word, pair): the bits of the band at each place of the right lines, set where the left line has the same symbol."""
+    width, count = 64 * words, len(left)
+    m, n = (np.fromiter((x.size for x in side), np.int64, count) for side in (left, right))
+    every, symbol = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    kind = np.uint8 if every.size < 254 else np.uint32
+    longest = int(n.max())
+    a, b = np.full((count, longest + width), 255, kind), np.full((count, longest), 254, kind)
+    a[np.repeat(np.arange(count), m), width // 2 - 1 + _counting(m)] = symbol[: m.sum()]
+    b[np.repeat(np.arange(count), n), _counting(n)] = symbol[m.sum() :]
+    out = np.empty((longest, words, count), np.uint64)
+    step = max(1, (1 << 21) // (longest * width))
+    for start in range(0, count, step):
+        window = np.lib.stride_tricks.sliding_window_view(a[start : start + step], width, axis=1)[:, :longest]
+        bits = np.packbits(window == b[start : start + step, :, None], axis=2, bitorder="little")
+        out[:, :, start : start + step] = bits.view(np.uint64).transpose(1, 2, 0)
+    return out
+
+
+def _banded(left: list[np.ndarray], right: list[np.ndarray], words: int) -> np.ndarray:
+    """Edit distances of pairs, none longer on the left, by the recurrence of ``within`` with a pair in each lane.
+
+    A band is ``words`` machine words wide; up to half of that, less one, distances are exact, beyond it they are too large.
+    """
+    count, width = len(left), 64 * words
+    band = width // 2 - 1
+    below = width - 1 - band
+    m, n = (np.fromiter((x.size for x in side), np.int64, count) for side in (left, right))
+    equal = _equalities(left, right, words)
+    one, top = np.uint64(1), np.uint64(63)
+    start = ((1 << width) - 1 << band) & ((1 << width) - 1)
+    plus = np.repeat(np.array([[start >> 64 * w & (1 << 64) - 1] for w in range(words)], np.uint64), count, axis=1)
+    minus = np.zeros((words, count), np.uint64)
+    distance, final, gone = np.minimum(below, m), np.zeros(count, np.int64), 0
+    inner = int(m.min()) - below  # up to here every pair's lowest row is in the band's corner
+    for j in range(1, int(n[-1]) + 1):
+        if n[0] < j:
+            done = int(np.searchsorted(n, j))  # shorter ones are
+            final[gone : gone + done] = distance[:done]
+            gone += done
+            m, n, plus, minus, distance = m[done:], n[done:], plus[:, done:], minus[:, done:], distance[done:]
+            inner = int(m.min()) - below
+        e = equal[j - 1, :, gone:]
+        total = e & plus
+        total += plus
+        if words > 1:
+            carry = np.zeros(total.shape[1], bool)
+            for w in range(1, words):
+                carry = (total[w - 1] < plus[w - 1]) | carry & (total[w - 1] == plus[w - 1])
+                total[w] += carry
+        diagonal = total
+        diagonal ^= plus
+        diagonal |= e
+        diagonal |= minus
+        up = diagonal | plus
+        np.invert(up, out=up)
+        up |= minus
+        down = diagonal & plus
+        if j <= inner:
+            distance += 1 - (diagonal[-1] >> top).astype(np.int64)
+        else:
+            bit = np.maximum(m - j + band, 0)
+            word, bit = np.minimum(bit >> 6, words - 1), (bit & 63).astype(np.uint64)
+            own = np.arange(word.size)
+            last = (up[word, own] >> bit & one).astype(np.int64) - (down[word, own] >> bit & one).astype(np.int64)
+            distance = distance + np.where(j + below <= m, 1 - (diagonal[-1] >> top).astype(np.int64), last)
+        shifted = diagonal >> one
+        if words > 1:
+            shifted[:-1] |= diagonal[1:] << top
+        minus = shifted & up
+        np.bitwise_or(shifted, up, out=up)
+        np.invert(up, out=up)
+        up |= down
+        plus = up
+    final[gone:] = distance
+    return np.where(final <= band, final, band + 1)
+
+
+ENTRY = [np.uint32, np.uint32, np.uint8]
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _linker(edits: int):
+    """The work on a block: links (a, b) that span its classes.  In each wave some lines of every group are held against all later
+    lines of their group that are not of their class; counts of runs of characters come before distances."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.lexsort((table["id"].to_numpy(), table["half"].to_numpy(), table["leader"].to_numpy()))))
+        ids, leader, half = (table[c].to_numpy() for c in ("id", "leader", "half"))
+        across = table["low"][0] != table["high"][0]
+        different, at, which = np.unique(ids, return_index=True, return_inverse=True)
+        lines = [x.decode("utf-8", "surrogatepass") for x in table["packed"].take(pa.array(at)).to_pylist()]
+        counts = run_counts(lines)
+        points = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in lines]
+        length = np.fromiter(map(len, lines), np.int64, len(lines))
+        budget = np.fromiter((allowed(int(n), edits) for n in length), np.int64, len(lines))
+        label = np.arange(different.size)  # of classes, by different line
+        first, size = near.runs(leader)
+        pivots = np.add.reduceat((half == 0).astype(np.int64), first) if across else size - 1
+        links, done, wave = [], 0, 0
+        while (on := pivots > done).any():
+            first, size, pivots = first[on], size[on], pivots[on]
+            upto = done + WAVES[min(wave, len(WAVES) - 1)]
+            each = np.minimum(pivots, upto) - done
+            a = np.repeat(first + done, each) + _counting(each)
+            # a chunk's lines come first, so that those of the other one are behind all of them
+            later = np.repeat(first + pivots, each) if across else a + 1
+            n = np.repeat(first + size, each) - later
+            a, b = np.repeat(a, n), np.repeat(later, n) + _counting(n)
+            done, wave = upto, wave + 1
+            x, y = which[a], which[b]
+            some = (label[x] != label[y]) & (np.abs(length[x] - length[y]) <= np.minimum(budget[x], budget[y]))
+            x, y = x[some], y[some]
+            some = may_be_within(counts, x, y, np.minimum(budget[x], budget[y]))
+            x, y = x[some], y[some]
+            _, once = np.unique(np.minimum(x, y) * different.size + np.maximum(x, y), return_index=True)
+            x, y = x[once], y[once]
+            limit = np.minimum(budget[x], budget[y])
+            ok = within_many(points, x, y, limit)
+            for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    links.append((i, j))
+        pairs = different[np.array(links, np.int64).reshape(-1, 2)]
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=LINKS)
+
+    return run
+
+
+def _counting(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each of the numbers, one after another."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def stars(blobs: DataFrame) -> DataFrame:
+    """(leader, id) of all members of buckets with two members or more, the leader, a bucket's smallest id, among them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, low, high = near.collected(table["blob"], ENTRY)
+        some = near.repeated(key)  # few keys are of two lines
+        key, item = key[some], low[some].astype(np.int64) | high[some].astype(np.int64) << 32
+        order = np.lexsort((item, key))
+        key, item = key[order], item[order]
+        first, _ = near.runs(key, item)
+        key, item = key[first], item[first]
+        first, size = near.runs(key)
+        many = np.repeat(size > 1, size)
+        leader, item = np.repeat(item[first], size)[many], item[many]
+        order = np.lexsort((item, leader))
+        leader, item = leader[order], item[order]
+        first, _ = near.runs(leader, item)
+        out = pa.table({"leader": pa.array(leader[first]), "id": pa.array(item[first])})
+        near.release()
+        return out
+
+    return blobs.groupBy("part").applyInArrow(run, "leader long, id long").distinct()
+
+
 def _lines(text: str | None):
     """(number, text without surrounding white space) of the lines that are compared."""
     for k, line in enumerate((text or "").split("\n")):
@@ -201,7 +466,7 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("row_key"))
 
 
-OCCURRENCES = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("line", pa.int32())])
+NUMBERS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("items", pa.list_(pa.int64()))])
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
@@ -220,37 +485,49 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         lines[item] = line
                         used += len(line)
                 if used > chars:
-                    yield lines
+                    yield np.fromiter(lines, dtype=np.int64, count=len(lines)), list(lines.values())
                     lines, used = {}, 0
         if lines:
-            yield lines
+            yield np.fromiter(lines, dtype=np.int64, count=len(lines)), list(lines.values())
 
     def keys(batches):
-        for lines in distinct(batches, SHORTEST_NEAR, KEY_CHARS):
-            found, owners = join_keys(list(lines.values()), edits)
-            yield near.key_batches(found, np.fromiter(lines, dtype=np.uint64, count=len(lines))[owners], parts)
+        powers = Powers()
+        for items, lines in distinct(batches, SHORTEST_NEAR, KEY_CHARS):
+            found, owners = join_keys(lines, edits, powers)
+            of = ((found & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
+            short = (items >> SHORT)[owners]
+            yield near.dealt(of, [(found >> np.uint64(32)).astype(np.uint32), short.astype(np.uint32), (short >> 32).astype(np.uint8)])
 
     def contents(batches):
-        for lines in distinct(batches, SHORTEST_NEAR, BATCH_BYTES // 4):
-            yield near.content_batches(np.fromiter(lines, dtype=np.int64, count=len(lines)), [v.encode("utf-8", "surrogatepass") for v in lines.values()], parts)
-
-    def occurrences(batches):
-        for batch in (part for whole in batches for part in slices(whole)):
-            rows = [[], [], [], []]
-            for doc_id, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                for k, line in _lines(text.as_py()):
-                    for column, value in zip(rows, (line_id(line), doc_id, key, k), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, OCCURRENCES, strict=True)], schema=OCCURRENCES)
-
-    found = checkpointed(near.members(docs.mapInArrow(releasing(keys), "part int, blob binary")))
-    packed = checkpointed(near.contents(docs.mapInArrow(releasing(contents), "part int, blob binary"), found))
-    _, roots = near.linked(found, packed, lambda raw: raw.decode("utf-8", "surrogatepass"), lambda a, b: similar(a, b, edits))
-    placed = docs.mapInArrow(releasing(occurrences), "item long, doc_id long, row_key long, line int").join(roots.withColumnRenamed("id", "item"), "item", "left")
-    placed = checkpointed(placed.select(F.coalesce("root", "item").alias("root"), "doc_id", "row_key", "line"))
+        for items, lines in distinct(batches, SHORTEST_NEAR, BATCH_BYTES // 4):
+            yield near.content_batches(items, [x.encode("utf-8", "surrogatepass") for x in lines], parts, SHORT)
+
+    def numbers(batches):
+        for batch in batches:
+            rows, start, used = [], 0, 0
+            for k, text in enumerate(batch.column(1)):
+                own = [line_id(x) if (x := line.strip()) else None for line in (text.as_py() or "").split("\n")]
+                rows.append(own)
+                used += 8 * len(own) + 32
+                if used > BATCH_BYTES // 4 or k == batch.num_rows - 1:
+                    columns = [batch.column(0).slice(start, len(rows)), batch.column(2).slice(start, len(rows)), pa.array(rows, NUMBERS.field("items").type)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=NUMBERS)
+                    rows, start, used = [], k + 1, 0
+
+    found = near.merged_groups(checkpointed(stars(docs.mapInArrow(releasing(keys), "part int, blob binary"))))
+    blobs = docs.mapInArrow(releasing(contents), "part int, blob binary")
+    links = near.in_blocks(found, near.with_contents(blobs, parts, SHORT), CHUNK, BLOCK_ROWS, lambda: _linker(edits), "a long, b long")
+    roots = near.classes(checkpointed(links)).withColumnRenamed("id", "item")
+    roots = roots.unionByName(roots.select("root", F.col("root").alias("item")).distinct())
+    numbered = checkpointed(docs.mapInArrow(releasing(numbers), "doc_id long, row_key long, items array<long>"))
+    each = numbered.select("doc_id", "row_key", F.posexplode("items").alias("line", "item")).filter("item IS NOT NULL")
     place = F.struct("doc_id", "row_key", "line")
-    first = placed.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
-    return placed.join(first, "root").filter(~place.eqNullSafe(F.col("first"))).groupBy("row_key").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    by_line = each.groupBy("item").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, "item", "left").filter("n > 1 OR root IS NOT NULL")
+    by_line = checkpointed(by_line.withColumn("root", F.coalesce("root", "item")))
+    # tables of their own, so that adaptive execution can split a very large class and the occurrences of a very common line
+    classes = checkpointed(by_line.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1").select("root", "first"))
+    kept = checkpointed(by_line.select("item", "root").join(classes, "root").select("item", "first"))
+    return each.join(kept, "item").filter(~place.eqNullSafe(F.col("first"))).groupBy("row_key").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
 def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
@@ -262,10 +539,11 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """``df`` without its dropped lines; documents of which only blank lines are left go."""
-    lost = dropped_lines(df, id_col, text_col, edits).withColumnsRenamed({"row_key": "lost_key", "dropped": "lost_lines"})
+    lost_key, lost_lines = fresh(df, "lost_key"), fresh(df, "lost_lines")
+    lost = dropped_lines(df, id_col, text_col, edits).withColumnsRenamed({"row_key": lost_key, "dropped": lost_lines})
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    both = df.join(lost, key == F.col("lost_key"), "left")
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("lost_lines", i)), "\n")
-    text = F.when(F.col("lost_lines").isNull(), F.col(text_col)).otherwise(left)
-    out = both.withColumn(text_col, text).filter(F.col("lost_lines").isNull() | (F.length(F.trim(F.regexp_replace(text_col, r"\s+", " "))) > 0))
+    both = df.join(lost, key == F.col(lost_key), "left")
+    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(lost_lines, i)), "\n")
+    text = F.when(F.col(lost_lines).isNull(), F.col(text_col)).otherwise(left)
+    out = both.withColumn(text_col, text).filter(F.col(lost_lines).isNull() | (F.length(F.trim(F.regexp_replace(text_col, r"\s+", " "))) > 0))
     return out.select(*df.columns)

@@ -1,11 +1,10 @@
-"""What the two similarity joins share: buckets of candidates, verification of pairs, and connected classes.
-
-Keys are made in NumPy and go to the shuffle as packed blobs, so that a candidate index costs 16 bytes a key and no row.
-In each bucket every member is paired with the bucket's leader, not with every other member.  Verified pairs are links;
-links form classes.  Buckets whose members then lie in several classes have every pair across classes verified too.
-So two items that share a bucket end in one class if they, or a chain of links, are similar, though no bucket emits all
-its pairs: none is left unverified but those whose ends are in one class already.  Those are verified by ``link_counts``,
-in blocks of two chunks of a class, which hand on counts and no pairs.
+"""What the two similarity joins share: candidate groups, their verification in blocks, and connected classes.
+
+Keys are made in NumPy and go to the shuffle as packed blobs, so that a candidate index costs some 15 bytes a key and no
+row.  All buckets that one item leads (as its smallest) make one group, whose members' contents meet in a task.  A group of
+more than a chunk of members is cut into chunks, and each pair of chunks is a block of its own, so that no task holds an
+unbounded group.  What a block hands on is linear in its members: links that span its classes and, where they are asked
+for, counts of links.  Pairs are neither rows nor capped.
 """
 
 from __future__ import annotations
@@ -18,69 +17,99 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import checkpointed, release, releasing
+from ._frames import checkpointed, release
 
 KEYS = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
-#: Items of a class that a chunk has about, and two chunks a block.
-CHUNK = 256
-MEMBERS = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("leader", pa.int64())])
+#: Bytes of input that a part of a candidate index or of its contents stands for at most.
+PART_BYTES = 64 << 20
+#: Into how many keys a group's rows are dealt where they meet the group's size.
+SALTS = 16
 
 
-def partitions(df: DataFrame) -> int:
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(GOLDEN), -1, 1 << 64))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Powers:
+    """The powers of ``GOLDEN`` and of its inverse modulo 2^64, as many as were asked for."""
 
+    def __init__(self, least: int = (1 << 20) + 1024):
+        self.up = self.down = np.ones(1, np.uint64)
+        self.least = least
 
-def key_batches(keys: np.ndarray, ids: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows (part, blob) of keys with the items that have them, dealt out by key."""
-    of = ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((keys, of))
-    of, keys, ids = of[order], keys[order], ids[order]
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.up.size < n:
+            size = max(n, self.least)
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, f)])) for f in (GOLDEN, INVERSE))
+        return self.up[:n], self.down[:n]
+
+
+def partitions(df: DataFrame) -> int:
+    """Parts of an index: twice the shuffle's partitions, and more where the input's size asks for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Spark multiplies sizes through joins: beyond 2^56 it is no estimate
+    return max(least, size // PART_BYTES) if size < 1 << 56 else least
+
+
+def dealt(of: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (part, blob): the columns' values by part, one column's bytes after another's."""
+    # numbers of 16 bits are sorted by their digits
+    order = np.argsort(of.astype(np.uint16) if of.max(initial=0) < 1 << 16 else of, kind="stable")
+    of, columns = of[order], [c[order] for c in columns]
     first = np.flatnonzero(np.diff(of, prepend=-1))
     rows = [[], []]
     for a, b in zip(first, [*first[1:], of.size], strict=True):
         rows[0].append(int(of[a]))
-        rows[1].append(keys[a:b].tobytes() + ids[a:b].tobytes())
+        rows[1].append(b"".join(c[a:b].tobytes() for c in columns))
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], schema=KEYS)
 
 
-def members(blobs: DataFrame) -> DataFrame:
-    """(bucket, id, leader) of every bucket with two members or more; the leader is its smallest id."""
-
-    def gather(table: pa.Table) -> pa.Table:
-        keys, ids = [], []
-        for blob in table["blob"].to_pylist():
-            numbers = np.frombuffer(blob, dtype=np.uint64)
-            keys.append(numbers[: numbers.size // 2])
-            ids.append(numbers[numbers.size // 2 :])
-        key, item = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((item, key))
-        key, item = key[order], item[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (item[1:] != item[:-1])])
-        key, item = key[new], item[new]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff([*first, key.size])
-        many = np.repeat(size > 1, size)
-        leader = np.repeat(item[first], size)
-        columns = [x[many].view(np.int64) for x in (key, item, leader)]
-        release()
-        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=MEMBERS)
-
-    return blobs.groupBy("part").applyInArrow(gather, "bucket long, id long, leader long")
-
-
-def contents(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
+def collected(blobs: pa.ChunkedArray, types: list) -> list[np.ndarray]:
+    """The columns that ``dealt`` packed, of all blobs of a part."""
+    width, out = sum(np.dtype(t).itemsize for t in types), [[] for _ in types]
+    for blob in blobs:
+        raw = memoryview(blob.as_buffer())
+        n, at = len(raw) // width, 0
+        for column, t in zip(out, types, strict=True):
+            column.append(np.frombuffer(raw, dtype=t, count=n, offset=at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, types, strict=True)]
+
+
+def runs(*sorted_columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, size) of the runs of equal rows."""
+    new = np.zeros(sorted_columns[0].size, bool)
+    new[:1] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff([*first, new.size])
+
+
+def repeated(key: np.ndarray) -> np.ndarray:
+    """Where the 32-bit keys are that occur more than once, in the order of the keys."""
+    both = (key.astype(np.uint64) << np.uint64(32)) | np.arange(key.size, dtype=np.uint64)
+    both.sort()
+    high = both >> np.uint64(32)
+    same = high[1:] == high[:-1]
+    keep = np.zeros(key.size, bool)
+    keep[1:] = same
+    keep[:-1] |= same
+    return (both[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def contents(blobs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     """(id, packed): the compressed content of each wanted item; ``blobs`` are rows (part, blob) of items dealt out by id."""
-    parts = partitions(blobs)
 
     def pick(asked: pa.Table, table: pa.Table) -> pa.Table:
-        left = set(asked["id"].to_pylist())
-        ids, packed = [], []
-        for blob in table["blob"].to_pylist() if left else ():
-            for row in unpack_rows(blob):
-                if row[0] in left:
-                    left.discard(row[0])
-                    ids.append(row[0])
-                    packed.append(zstandard.ZstdCompressor(level=1).compress(row[1]))
+        ids, packed = wanted_rows(asked["id"].to_numpy(), table["blob"], 0, zstandard.ZstdCompressor(level=1).compress)
         release()
         return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["id", "packed"])
 
@@ -96,15 +125,24 @@ def pack_rows(ids: list[int], contents: list[bytes]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def unpack_rows(blob: bytes):
-    table = pa.ipc.open_stream(blob).read_all()
-    return zip(table["id"].to_pylist(), table["content"].to_pylist(), strict=True)
+def wanted_rows(asked: np.ndarray, blobs: pa.ChunkedArray, shift: int, pack: Callable[[bytes], bytes]) -> tuple[list[int], list[bytes]]:
+    """The (id, packed content) of packed rows, each id once, whose ids without their last ``shift`` bits are asked for."""
+    asked, seen, ids, packed = np.unique(asked), set(), [], []
+    for blob in blobs if asked.size else ():
+        table = pa.ipc.open_stream(blob.as_buffer()).read_all()
+        own = table["id"].to_numpy()
+        for k in np.flatnonzero(np.isin(own >> shift, asked)).tolist():
+            if (item := int(own[k])) not in seen:
+                seen.add(item)
+                ids.append(item)
+                packed.append(pack(table["content"][k].as_py()))
+    return ids, packed
 
 
-def content_batches(ids: np.ndarray, contents: list[bytes], parts: int) -> pa.RecordBatch:
-    """Rows (part, blob) of distinct items' contents, dealt out by id."""
+def content_batches(ids: np.ndarray, contents: list[bytes], parts: int, shift: int = 0) -> pa.RecordBatch:
+    """Rows (part, blob) of distinct items' contents, dealt out by id without its last ``shift`` bits."""
     _, at = np.unique(ids, return_index=True)
-    of = np.mod(ids[at], parts)
+    of = np.mod(ids[at] >> shift, parts)
     order = np.argsort(of, kind="stable")
     at, of = at[order], of[order]
     first = np.flatnonzero(np.diff(of, prepend=-1))
@@ -115,31 +153,83 @@ def content_batches(ids: np.ndarray, contents: list[bytes], parts: int) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], schema=KEYS)
 
 
-def verified(pairs: DataFrame, packed: DataFrame, prepare: Callable[[bytes], object], similar: Callable[[object, object], bool]) -> DataFrame:
-    """Those of the pairs (a, b) whose contents are similar."""
-    first = packed.select(F.col("id").alias("a"), F.col("packed").alias("pa"))
-    second = packed.select(F.col("id").alias("b"), F.col("packed").alias("pb"))
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "pa", "pb")
+def with_contents(blobs: DataFrame, parts: int, shift: int) -> Callable[[DataFrame], DataFrame]:
+    """A join of rows with the contents in ``blobs`` of the items whose ids, without their last ``shift`` bits, the rows have: rows of
+    the whole ids, with ``packed``, the contents as they are.  They go straight to the rows; no table of them is kept."""
+
+    def join(rows: DataFrame) -> DataFrame:
+        names = rows.columns
+
+        def attach(asked: pa.Table, table: pa.Table) -> pa.Table:
+            ids, packed = wanted_rows(asked["id"].to_numpy(), table["blob"], shift, bytes)
+            short = np.array(ids, np.int64) >> shift
+            order = np.argsort(short, kind="stable")
+            own = asked["id"].to_numpy()
+            first, last = (np.searchsorted(short[order], own, side=side) for side in ("left", "right"))
+            row = np.repeat(np.arange(own.size), last - first)
+            at = order[np.repeat(first, last - first) + np.arange(row.size) - np.repeat(np.cumsum(last - first) - (last - first), last - first)]
+            out = asked.select(names).take(pa.array(row))
+            out = out.set_column(names.index("id"), "id", pa.array(np.array(ids, np.int64)[at]))
+            out = out.append_column("packed", pa.array(packed, pa.binary()).take(pa.array(at)))
+            release()
+            return out
+
+        asked = rows.withColumn("part", F.pmod("id", F.lit(parts)).cast("int"))
+        spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", packed binary"
+        return asked.groupBy("part").cogroup(blobs.groupBy("part")).applyInArrow(attach, spec)
+
+    return join
+
+
+def in_blocks(rows: DataFrame, join: Callable[[DataFrame], DataFrame], chunk: int, block_rows: int, kernel: Callable[[], Callable[[pa.Table], pa.Table]], schema: str) -> DataFrame:
+    """What ``kernel()`` makes of each block of the rows (leader, id, ...), which ``join`` gives their items' ``packed`` contents.
+
+    A block's table holds whole groups of up to ``chunk`` rows, about ``block_rows`` in all, or one chunk of a larger group, or two:
+    there ``low`` and ``high`` differ, ``half`` says which chunk a row is of, and only pairs across them are the block's own.
+    """
+    blocks = max(1, rows.count() // block_rows)
+    large = rows.groupBy("leader").agg(F.count("*").alias("n")).filter(F.col("n") > chunk)
+    large = large.select("leader", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    placed = salted.join(large, ["leader", "salt"], "left").drop("salt")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int")
+    # each row of a large group meets every chunk of it, its own one too
+    met = placed.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks") - 1, F.lit(0)))))
+    block = F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("leader"), F.lit(blocks))).otherwise(F.col("leader"))
+    met = met.select(F.col("chunks").isNull().alias("small"), block.alias("block"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *rows.columns, (F.col("own") > F.col("other")).cast("int").alias("half"))
+
+    def run(table: pa.Table) -> pa.Table:
+        out = kernel()(table)
+        release()
+        return out
+
+    return join(met).groupBy("small", "block", "low", "high").applyInArrow(run, schema)
+
+
+def merged_groups(rows: DataFrame) -> DataFrame:
+    """The rows (leader, id) with every group put into that of the smallest leader whose group its own leader is in.
 
-    def run(batches):
-        known: dict[int, object] = {}
-        unpack = zstandard.ZstdDecompressor().decompress
+    A family of similar items has a leader for each of its buckets; so it becomes few groups, and its pairs are compared once.
+    """
+    lower = checkpointed(rows.filter("id != leader").groupBy(F.col("id").alias("leader")).agg(F.min("leader").alias("lower")))
+    return checkpointed(rows.join(lower, "leader", "left").select(F.coalesce("lower", "leader").alias("leader"), "id").distinct())
 
-        def content(key, blob):
-            if key not in known:
-                if len(known) >= 128:
-                    known.clear()
-                known[key] = prepare(unpack(blob))
-            return known[key]
 
-        for batch in batches:
-            a, b, blob_a, blob_b = (batch.column(k) for k in range(4))
-            a, b = a.to_pylist(), b.to_pylist()
-            keep = [similar(content(a[k], blob_a[k].as_py()), content(b[k], blob_b[k].as_py())) for k in range(len(a))]
-            at = [k for k, yes in enumerate(keep) if yes]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in at], pa.int64()) for x in (a, b)], names=["a", "b"])
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Which of the pairs (a, b) of items below n connect what those before them do not."""
+    up, kept = list(range(n)), []
 
-    return both.mapInArrow(releasing(run), "a long, b long")
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        i, j = find(i), find(j)
+        if i != j:
+            up[max(i, j)] = min(i, j)
+            kept.append(k)
+    return kept
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -147,69 +237,14 @@ def classes(links: DataFrame) -> DataFrame:
     edges = links.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).filter("low < high").distinct()
     before = None
     while True:
-        # large star: a node's larger neighbours are hung on its smallest one
-        both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).union(edges.select("high", "low"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("low"), F.col("v").alias("high"))
+        # large star: a node's larger neighbours are hung on its smallest one; a hub has no smaller one, and no row here
+        lower = checkpointed(edges.groupBy("high").agg(F.min("low").alias("m")))
+        large = edges.join(lower.select(F.col("high").alias("low"), "m"), "low", "left").select(F.coalesce("m", "low").alias("low"), "high").distinct()
         # small star: a node and its smaller neighbours are hung on the smallest of them
-        down = large.select(F.col("high").alias("u"), F.col("low").alias("v")).distinct()
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(lowest, "u").filter("v != m").select(F.col("m").alias("low"), F.col("v").alias("high")).union(lowest.select(F.col("m").alias("low"), F.col("u").alias("high")))
+        lowest = large.groupBy("high").agg(F.min("low").alias("m"))
+        small = large.join(lowest, "high").filter("low != m").select(F.col("m").alias("low"), F.col("low").alias("high")).union(lowest.select(F.col("m").alias("low"), "high"))
         edges = checkpointed(small.distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             return edges.groupBy(F.col("high").alias("id")).agg(F.min("low").alias("root"))
         before = now
-
-
-def linked(found: DataFrame, packed: DataFrame, prepare, similar) -> tuple[DataFrame, DataFrame]:
-    """(links, classes) of all members: leaders' pairs first, then every pair across classes that shares a bucket."""
-    starred = found.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = checkpointed(verified(starred, packed, prepare, similar))
-    roots = classes(links)
-    placed = found.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one != other").select("bucket")
-    left = placed.join(open_buckets, "bucket")
-    # a bucket's rows are few here: only classes that its leader could not join are apart
-    pairs = left.alias("x").join(left.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
-    rest = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
-    more = checkpointed(verified(rest, packed, prepare, similar))
-    everything = links.union(more)
-    return everything, classes(everything)
-
-
-def link_counts(found: DataFrame, roots: DataFrame, packed: DataFrame, prepare, similar) -> DataFrame:
-    """(id, n): with how many other items of its class that share a bucket with it each item is similar."""
-    parts = partitions(found)
-    # a class's smallest item has no row of its own among the roots
-    everyone = roots.union(roots.select(F.col("root").alias("id"), "root")).distinct()
-    items = checkpointed(found.join(everyone, "id").groupBy("root", "id").agg(F.collect_list("bucket").alias("buckets")))
-    sizes = items.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = items.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(packed, "id")
-    # each item meets every chunk of its class, its own one too; small classes share blocks
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    met = dealt.select("root", "id", "buckets", "packed", "chunk", "chunks", other)
-    block = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("root"), F.lit(parts))).otherwise(F.col("root")).alias("block")
-    met = met.select((F.col("chunks") == 1).alias("small"), block, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "root", "id", "chunk", "buckets", "packed")
-
-    def count(table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        apart = table["low"][0].as_py() != table["high"][0].as_py()
-        ids, root, chunk = (table[c].to_pylist() for c in ("id", "root", "chunk"))
-        n, members, known = [0] * len(ids), {}, []
-        for i, (buckets, blob) in enumerate(zip(table["buckets"], table["packed"], strict=True)):
-            known.append(prepare(unpack(blob.as_py())))
-            near = set()
-            for bucket in buckets.as_py():
-                earlier = members.setdefault((root[i], bucket), [])
-                near.update(earlier)
-                earlier.append(i)
-            for j in near:
-                if (not apart or chunk[i] != chunk[j]) and similar(known[i], known[j]):
-                    n[i] += 1
-                    n[j] += 1
-        release()
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "n"])
-
-    counted = met.groupBy("small", "block", "low", "high").applyInArrow(count, "id long, n long")
-    return counted.groupBy("id").agg(F.sum("n").alias("n"))
