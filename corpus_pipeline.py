@@ -20,7 +20,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over ``documents``, each written as Parquet to the shared folder and read again."""
+    """The stages one after another over ``documents``, each written as Parquet to the shared folder and read again.
+
+    A stage's table goes when the next one is written; the last one stays for whoever reads the result.
+    """
     import uuid
 
     folder = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
@@ -28,4 +31,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return docs

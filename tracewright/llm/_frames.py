@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -106,6 +107,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(folder)
         return folder
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors share no other folder")
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
