@@ -59,6 +59,17 @@ def test_tokens_equal_the_library(spark, docs):
     assert rows[0].n_tokens == rows[1].n_tokens == 0 and rows[7].over_limit and rows[8][1:] == rows[9][1:]
 
 
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    with open(queries.tokenizer_path()) as f:
+        spec = json.load(f)
+    for name, change in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("model", spec["model"] | {"byte_fallback": True}), ("added_tokens", [spec["added_tokens"][0] | {"lstrip": True}])):
+        (tmp_path / "t.json").write_text(json.dumps(spec | {name: change}))
+        with pytest.raises(ValueError):
+            tokens.load_merges(str(tmp_path / "t.json"))
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 SECRETS = {"assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 

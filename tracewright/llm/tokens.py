@@ -38,10 +38,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_kind(spec: dict) -> None:
+    """Raises where a tokenizer file asks for what is not counted here: only plain byte-level pair merging is."""
+    model, before = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    wrong = [f"model.{k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [k for k in ("normalizer", "truncation", "padding") if spec.get(k)]
+    wrong += ["model.type"] * (model.get("type", "BPE") != "BPE")
+    wrong += ["pre_tokenizer"] * ((before.get("type"), before.get("add_prefix_space", False), before.get("use_regex", True)) != ("ByteLevel", False, True))
+    wrong += [f"added_tokens.{k}" for t in spec.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if wrong:
+        raise ValueError(f"not a plain byte-level tokenizer: {', '.join(sorted(set(wrong)))}")
+
+
 def load_merges(path: str) -> tuple[dict[tuple[int, int], tuple[int, int]], list[str]]:
     """{(left, right): (rank, merged)} over symbol numbers, where 0 to 255 are bytes; and the special strings."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    check_kind(spec)
     number: dict[str, int] = dict(byte_letters())
     table = {}
     for rank, pair in enumerate(spec["model"]["merges"]):
