@@ -183,10 +183,9 @@ def rings(t: Tables) -> DataFrame:
     return found.groupBy(F.col("p_type").alias("place")).agg(F.min("distance").alias("ring"), F.count("*").alias("nodes"))
 
 
-@query("flt10_node_filters", f"""WITH {EDGES} SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges) AND p_retailprice / (SELECT max(p_retailprice) FROM part) >= 0.5::DOUBLE AND p_type != (SELECT min(p_type) FROM part)""")
+@query("flt10_node_filters", f"""WITH {EDGES} SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges) AND p_retailprice / (SELECT max(p_retailprice) FROM part) >= 0.5::DOUBLE AND p_type != (SELECT min(p_type) FROM part)""")
 def node_filters(t: Tables) -> DataFrame:
-    """Orphans of enough rank and another kind."""
-    edges = part_edges(t)
-    ends = edges.select(F.col("src").alias("p_partkey")).union(edges.select("dst")).distinct()
+    """Nodes that no edge leads to, of enough rank and another kind."""
+    ends = part_edges(t).select(F.col("dst").alias("p_partkey")).distinct()
     most = t.part.agg(F.max("p_retailprice")).scalar()
     return t.part.join(ends, "p_partkey", "left_anti").filter((F.col("p_retailprice") / most >= 0.5) & (F.col("p_type") != t.part.agg(F.min("p_type")).scalar())).select("p_partkey")
