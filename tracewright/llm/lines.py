@@ -38,11 +38,11 @@ GRAM, TREES, DEPTH = 6, 24, 4
 #: How often n-grams are thrown at most, and of how many values one may be left empty.
 ROUNDS, SPARE = 8, 8
 #: Lines of a large group in a chunk, rows of small groups in a block, and characters of pairs whose distances are found at once.
-CHUNK, BLOCK_ROWS, CELLS = 1024, 16384, 1 << 21
+CHUNK, BLOCK_ROWS, CELLS = 1024, 16384, 1 << 20
 #: Slots that a line's runs of three characters are counted in, and pairs of lines whose counts are compared at once.
 SLOTS, PAIRS = 512, 1 << 13
 #: Up to how many lines of each group are held against the others at once, in the first waves and in all later ones.
-WAVES = (1, 23, 64)
+WAVES = (1, 23, 32)
 #: Pairs of lines from which a machine word a pair is faster than one pair after another.
 LANES = 40
 #: Characters of lines whose substrings are hashed at once: some 80 bytes of arrays for each.
