@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,6 +11,8 @@ import pytest
 
 from tests.compare import connect, same_rows
 from tracewright.llm import decontaminate, jaccard, kneser_ney, licences, lines, mixing, near, quality, queries, stages
+from tracewright.llm._frames import freed
+from tracewright.llm.near import Powers
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -439,3 +442,45 @@ def test_pipeline_keeps_clean_documents(spark):
         assert ids <= {r.doc_id for r in docs.select("doc_id").collect()} and len(ids) > 0.6 * docs.count()
         docs = kept
     assert corpus_pipeline.run(spark, SF).filter("n_words > 0").count() > 0
+
+
+def test_chance_candidates_of_lines_are_few():
+    rnd = random.Random(31)
+    shares = {"edited": 0, "turned": 0}
+    for _ in range(40):
+        a, b = (" ".join(words(rnd, 60, 5000))[:200] for _ in range(2))
+        some = [a + b, "#" + a[:100] + "#" + a[101:] + b, b + a]
+        keys = lines.sketch_keys(lines.Hashes(some, Powers(0)), np.arange(3))[0].reshape(3, -1)
+        shares["edited"] += (keys[0] == keys[1]).mean() / 40
+        shares["turned"] += (keys[0] == keys[2]).mean() / 40
+    assert shares["edited"] > 0.7 and shares["turned"] < 0.25  # n-grams in another order are another key
+
+
+def test_buckets_are_cut_where_lengths_are_too_far_apart():
+    length = np.array([80, 84, 88, 100, 200, 210, 221, 233, 90])
+    key = np.array([1] * 8 + [2])
+    assert lines.cut_by_length(key, length, 2).tolist() == [0, 0, 0, 1, 2, 2, 3, 4, 5]
+    rnd = random.Random(7)
+    for _ in range(200):  # lines within their edits stay together
+        length = np.sort(np.array([rnd.randrange(80, 400) for _ in range(12)]))
+        cut = lines.cut_by_length(np.zeros(12, np.int64), length, 2)
+        assert all(cut[i] == cut[j] for i, j in itertools.combinations(range(12), 2) if length[j] - length[i] <= lines.allowed(int(length[i])))
+
+
+def test_line_dedup_leaves_no_shuffle_files(spark):
+    rnd = random.Random(41)
+    texts = ["\n".join(" ".join(words(rnd, 20)) for _ in range(4)) for _ in range(60)]
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        return sum(str(x).startswith("shuffle_") for x in files.getAllBlocks().mkString("\n").split("\n"))
+
+    freed(spark)
+    time.sleep(2)
+    before = held()
+    lines.dropped_lines(spark.createDataFrame(rows_of(texts * 2), COLUMNS))
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before
