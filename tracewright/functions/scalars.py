@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CAMEL = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+#: An edge of a run of ASCII word characters, as the SQL's engine has it; Java's own edge depends on its version, and counts other letters to the word.
+EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
 
 def half_up(numerator: Column, denominator: Column, digits: int) -> Column:
