@@ -56,13 +56,25 @@ def words(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(F.regexp_extract_all(F.translate(F.col(text_col), "_", " "), F.lit(f"({WORD})"), F.lit(1))).alias("w"))
 
 
+CAMEL_EDGE = "[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]"
+
+
 def word_tokens(words: DataFrame, *keys: str) -> DataFrame:
     """(keys, token) of the rows (keys, w): stems of words and of the parts of ASCII camel-case words."""
-    low = F.lower("w")
-    parts = F.when(F.col("w").rlike("^[A-Za-z0-9]+$") & F.col("w").rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]"), F.regexp_extract_all("w", F.lit(f"({CAMEL})"), F.lit(1)))
-    several = F.when(F.size(parts) > 1, F.transform(parts, lambda p: F.lower(p))).otherwise(F.array().cast("array<string>"))
-    whole = words.select(*keys, F.explode(F.concat(F.array(low), F.coalesce(several, F.array().cast("array<string>")))).alias("t"))
-    return whole.filter(~F.col("t").isin(*STOPWORDS)).select(*keys, stem(F.col("t")).alias("token"))
+    return _stemmed(words.select(*keys, F.lower("w").alias("t")), *keys).unionByName(part_tokens(words, *keys))
+
+
+def part_tokens(words: DataFrame, *keys: str) -> DataFrame:
+    """(keys, token): stems of the parts of ASCII camel-case words of two parts or more."""
+    camel = words.filter(F.col("w").rlike(CAMEL_EDGE) & F.col("w").rlike("^[A-Za-z0-9]+$"))
+    parts = camel.select(*keys, F.regexp_extract_all("w", F.lit(f"({CAMEL})"), F.lit(1)).alias("p")).filter(F.size("p") > 1)
+    return _stemmed(parts.select(*keys, F.explode("p").alias("t")).select(*keys, F.lower("t").alias("t")), *keys)
+
+
+def _stemmed(low: DataFrame, *keys: str) -> DataFrame:
+    # the cut word is a column of its own, so that it is worked out once and in generated code
+    cut = low.filter(~F.col("t").isin(*STOPWORDS)).select(*keys, "t", _cut(F.col("t")).alias("_cut"))
+    return cut.select(*keys, _stem(F.col("t"), F.col("_cut")).alias("token"))
 
 
 def snake_tokens(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
@@ -74,7 +86,10 @@ def snake_tokens(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
 
 def tokens(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
     """(keys, token), one row a token: stems of words, stems of the parts of ASCII camel-case words, whole snake-case names."""
-    return word_tokens(words(df, text_col, *keys), *keys).unionByName(snake_tokens(df, text_col, *keys))
+    # texts without an edge of camel case have no such word, and are not cut into words again
+    some = df.filter(F.col(text_col).rlike(CAMEL_EDGE))
+    low = words(df, text_col, *keys).select(*keys, F.lower("w").alias("t"))
+    return _stemmed(low, *keys).unionByName(part_tokens(words(some, text_col, *keys), *keys)).unionByName(snake_tokens(df, text_col, *keys))
 
 
 def term_frequencies(df: DataFrame, fields: dict[str, float], *keys: str) -> DataFrame:
