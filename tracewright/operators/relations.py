@@ -84,11 +84,21 @@ def longest_suffix(names: DataFrame, name: str, packages: DataFrame, package: st
 
 
 def nearest_by_prefix(left: DataFrame, right: DataFrame, group: str, l_path: str, r_path: str) -> DataFrame:
-    """Pairs of one group whose directory paths share the most leading parts, per left path: all ties are kept."""
-    from tracewright.functions.scalars import common_prefix_length
+    """Pairs of one group whose directory paths share the most leading parts, per left path: all ties are kept.
 
-    both = left.join(right, group).withColumn("shared", common_prefix_length(F.split(l_path, "/"), F.split(r_path, "/")))
-    return both.withColumn("place", F.rank().over(Window.partitionBy(group, l_path).orderBy(F.desc("shared")))).filter("place = 1").drop("place")
+    Prefixes meet by equality: the longest one of a left path that the group's right paths have is found first, and only
+    pairs that share it are made, so the work is that of the result.
+    """
+
+    def prefixes(df: DataFrame, path: str, least: int = 0) -> DataFrame:
+        parts = F.split(path, "/")
+        cut = F.transform(F.sequence(F.lit(least), F.size(parts)), lambda k: F.struct(k.alias("shared"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("prefix")))
+        return df.select("*", F.explode(cut).alias("c")).select(*df.columns, "c.*")
+
+    there = prefixes(right, r_path)
+    known = there.select(group, "shared", "prefix").distinct()
+    deepest = prefixes(left.select(group, l_path).distinct(), l_path).join(known, [group, "shared", "prefix"], "left_semi").groupBy(group, l_path).agg(F.max(F.struct("shared", "prefix")).alias("m")).select(group, l_path, "m.*")
+    return left.join(deepest, [group, l_path]).join(there, [group, "shared", "prefix"]).drop("prefix")
 
 
 def lift(edges: DataFrame, places: DataFrame, node: str, group: str, src: str = "src", dst: str = "dst") -> DataFrame:
