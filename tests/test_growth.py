@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import retrieval
+from tracewright.operators import changes, relations, retrieval
 
 
 def rows(df):
@@ -18,3 +18,21 @@ def test_index_of_asked_terms_is_that_part_of_the_whole(spark):
     assert rows(lengths) == rows(docs)
     assert rows(some) == rows(postings.join(terms.distinct(), "term", "left_semi").select("doc_id", "term", "tf")) != []
     assert some.select(F.count("*")).first()[0] < postings.count()
+
+
+def test_nearest_prefixes_make_only_the_pairs_they_give(spark):
+    left = spark.createDataFrame([("g", "a/b/c"), ("g", "a/x"), ("g", "z/q"), ("h", "a/b"), ("n", "a/b"), ("g", "a/b/c")], "grp string, source string")
+    right = spark.createDataFrame([("g", "a/b/d"), ("g", "a/b/c"), ("g", "a/y/x"), ("g", "ab/c"), ("h", "b"), ("h", "a/c")], "grp string, test string")
+    found = relations.nearest_by_prefix(left, right, "grp", "source", "test").select("grp", "source", "test", "shared")
+    want = [("g", "a/b/c", "a/b/c", 3)] * 2 + [("g", "a/x", t, 1) for t in ("a/b/c", "a/b/d", "a/y/x")] + [("g", "z/q", t, 0) for t in ("a/b/c", "a/b/d", "a/y/x", "ab/c")] + [("h", "a/b", "a/c", 1)]
+    assert rows(found) == sorted(want, key=repr)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_known_findings_of_one_title_are_compared_once(spark):
+    known = spark.range(3000).selectExpr("'p' AS place", "3000 - id AS id", "concat('name ', id % 2) AS title", "if(id % 3 = 0, 'fixed', 'open') AS status")
+    seen = spark.createDataFrame([("p", "name 0"), ("p", "other")], "place string, title string")
+    found = changes.upsert_findings(known, seen, ["place"], "title")
+    assert rows(found) == sorted([(1, "name 0", "open", "updated"), (None, "other", "open", "created")], key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("min(struct(id")

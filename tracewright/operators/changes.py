@@ -33,7 +33,8 @@ def drift(previous: DataFrame, changes: DataFrame, threshold: int = 8, capped: s
 
 def upsert_findings(known: DataFrame, seen: DataFrame, place: list[str], title: str, least: float = 0.5) -> DataFrame:
     """(id, title, status, result): findings matched by place and similar titles are updated, fixed ones reopened, others created."""
-    k = known.select(*place, F.col("id"), F.col(title).alias("was"), "status")
+    # of the known findings of one place and title the first alone can be chosen
+    k = known.groupBy(*place, F.col(title).alias("was")).agg(F.min(F.struct("id", "status")).alias("m")).select(*place, "was", "m.id", "m.status")
     s = seen.select(*place, F.col(title).alias("now")).distinct()
     both = s.join(k, place).filter(jaccard(title_words(F.col("was")), title_words(F.col("now"))) >= least)
     best = F.row_number().over(Window.partitionBy(*place, "now").orderBy("id"))
