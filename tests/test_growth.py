@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import changes, relations, retrieval
+from tracewright import session
+from tracewright.operators import changes, history, relations, retrieval
 
 
 def rows(df):
@@ -36,3 +37,12 @@ def test_known_findings_of_one_title_are_compared_once(spark):
     assert rows(found) == sorted([(1, "name 0", "open", "updated"), (None, "other", "open", "created")], key=repr)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("min(struct(id")
+
+
+def test_pairs_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 5)
+    commits = spark.createDataFrame([(s, "x", 1, f) for s in range(10) for f in range(s, s + 5)], "sha long, author string, ts long, file long")
+    found = history.pair_counts(commits)
+    assert found.rdd.getNumPartitions() == 20  # 100 pairs
+    assert sum(r.n for r in found.collect()) == 100
+    assert history.owners(commits, rows_hint=50).rdd.getNumPartitions() == 10

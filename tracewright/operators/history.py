@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import half_life, half_up
+from tracewright.session import checkpointed, dealt
 
 #: Files of a commit beyond which it says nothing about pairs, commits that a pair must share, partners kept for a file.
 MOST_FILES, LEAST_SHARED, PARTNERS, OWNERS = 30, 2, 5, 3
@@ -18,12 +19,15 @@ def commit_files(df: DataFrame, commit: str, author: str, ts: str, file: str) ->
 
 def churn(rows: DataFrame) -> DataFrame:
     """(file, churn, last_changed)."""
-    return rows.groupBy("file").agg(F.countDistinct("sha").alias("churn"), F.max("ts").alias("last_changed"))
+    # a commit's row of a file first: where rows are dealt out by commit, that takes no shuffle of its own
+    once = rows.groupBy("sha", "file").agg(F.max("ts").alias("ts"))
+    return once.groupBy("file").agg(F.count("sha").alias("churn"), F.max("ts").alias("last_changed"))
 
 
-def owners(rows: DataFrame, top: int = OWNERS) -> DataFrame:
-    """(file, author, commits, place): the authors with the most commits of each file."""
-    counted = rows.groupBy("file", "author").agg(F.countDistinct("sha").alias("commits"))
+def owners(rows: DataFrame, top: int = OWNERS, rows_hint: int = 0) -> DataFrame:
+    """(file, author, commits, place): the authors with the most commits of each file; ``rows_hint`` rows decide on the number of tasks."""
+    once = dealt(rows.select("sha", "file", "author").distinct(), rows_hint, "file")
+    counted = once.groupBy("file", "author").agg(F.count("sha").alias("commits"))
     place = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("commits"), "author"))
     return counted.withColumn("place", place).filter(F.col("place") <= top)
 
@@ -31,9 +35,13 @@ def owners(rows: DataFrame, top: int = OWNERS) -> DataFrame:
 def pair_counts(rows: DataFrame, most_files: int = MOST_FILES) -> DataFrame:
     """(a, b, n): commits that touch both; a commit of at most ``most_files`` files gives a bounded number of pairs."""
     files = rows.select("sha", "file").distinct()
-    small = files.groupBy("sha").agg(F.count("*").alias("k")).filter(F.col("k").between(2, most_files)).select("sha")
-    left = files.join(small, "sha", "left_semi")
-    return left.alias("x").join(left.alias("y"), "sha").filter("x.file < y.file").groupBy(F.col("x.file").alias("a"), F.col("y.file").alias("b")).agg(F.count("*").alias("n"))
+    small = files.groupBy("sha").agg(F.count("*").alias("k")).filter(F.col("k").between(2, most_files))
+    left = checkpointed(files.join(small, "sha").select("sha", "file", "k"))
+    # each file of a commit of k stands for (k - 1) / 2 pairs: their number is that of the tasks that count them
+    held, n = left.agg(F.count("*"), F.coalesce(F.sum(F.col("k") - 1), F.lit(0))).first()
+    left = dealt(left.drop("k"), held, "sha")
+    pairs = left.alias("x").join(left.alias("y"), "sha").filter("x.file < y.file").select(F.col("x.file").alias("a"), F.col("y.file").alias("b"))
+    return dealt(pairs, n // 2, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def cochange(rows: DataFrame, least: int = LEAST_SHARED, partners: int = PARTNERS, most_files: int = MOST_FILES) -> DataFrame:

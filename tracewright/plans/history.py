@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators import history as H
+from tracewright.session import dealt
 
 from .registry import Tables, query
 
@@ -17,7 +18,10 @@ STRENGTH = "floor((2000 * n + (ca + cb - n))::DOUBLE / (2 * (ca + cb - n))) / 10
 
 
 def commits(t: Tables) -> DataFrame:
-    return H.commit_files(t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")), "o_orderkey", "o_custkey", "o_orderdate", "l_partkey")
+    n = t.lineitem.count()  # the files' footers tell
+    lines = dealt(t.lineitem.select("l_orderkey", "l_partkey"), n, "l_orderkey")
+    orders = dealt(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), n, "o_orderkey")
+    return H.commit_files(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "o_orderkey", "o_custkey", "o_orderdate", "l_partkey")
 
 
 @query("cochange_top", f"""WITH {CHURN}, {PAIRS},
@@ -42,7 +46,7 @@ def churn(t: Tables) -> DataFrame:
 @query("ag7_owners", f"""WITH {ROWS}, c AS (SELECT file, author, count(DISTINCT sha) AS commits FROM rows GROUP BY ALL)
 SELECT file, author, commits, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY commits DESC, author) AS place FROM c) WHERE place <= 3""")
 def owners(t: Tables) -> DataFrame:
-    return H.owners(commits(t))
+    return H.owners(commits(t), rows_hint=t.lineitem.count())
 
 
 @query("ag8_last_changed", f"WITH {CHURN} SELECT file, epoch_us(last_changed) AS last_us FROM churned")

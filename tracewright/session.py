@@ -49,3 +49,13 @@ def checkpointed(df):
             raise RuntimeError("spark.checkpoint.dir is not set: executors share no other folder")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a task that fit its memory several times over.
+ROWS_A_TASK = 500_000
+
+
+def dealt(df, rows: int, *keys: str):
+    """``df`` dealt out by keys over as many tasks as ``rows`` rows need: a session's fixed number lets tasks grow with the input."""
+    fixed = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(fixed, -(-rows // ROWS_A_TASK)), *keys)
