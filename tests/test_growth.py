@@ -1,9 +1,12 @@
 """Steps whose cost must follow the input: the same rows as the plain way, by plans that hold no more than they need."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright import session
-from tracewright.operators import changes, history, relations, retrieval
+from tracewright.operators import changes, graph, history, relations, retrieval
 
 
 def rows(df):
@@ -46,3 +49,17 @@ def test_pairs_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 20  # 100 pairs
     assert sum(r.n for r in found.collect()) == 100
     assert history.owners(commits, rows_hint=50).rdd.getNumPartitions() == 10
+
+
+@pytest.mark.parametrize("most", [1_000_000, 6])
+def test_strong_components_meet_in_tasks_of_bounded_edges(spark, monkeypatch, most):
+    rnd = random.Random(7)
+    pairs = {(k * 100 + a, k * 100 + b) for k in range(2) for a, b in ((rnd.randrange(9 + k), rnd.randrange(9 + k)) for _ in range(14))} | {(900, 901), (901, 900), (901, 902), (902, 903), (903, 902)}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    want = rows(graph.strong_components(edges, rounds=50))
+    monkeypatch.setattr(graph, "EDGES_A_TASK", most)
+    taken = []
+    walked = graph._walked
+    monkeypatch.setattr(graph, "_walked", lambda e: taken.append(e.count()) or walked(e))
+    assert rows(graph.strong_components(edges)) == want != []
+    assert taken and max(taken) <= max(most, 6) and (len(taken) > 1) == (most < 20)  # walks; beyond the bound of a task, parts and rounds
