@@ -63,3 +63,17 @@ def test_strong_components_meet_in_tasks_of_bounded_edges(spark, monkeypatch, mo
     monkeypatch.setattr(graph, "_walked", lambda e: taken.append(e.count()) or walked(e))
     assert rows(graph.strong_components(edges)) == want != []
     assert taken
+
+
+def test_louvain_deals_components_over_tasks_and_moves_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES_A_MOVE", 6)
+    ring = [(0, 1), (1, 2), (2, 0), (10, 11), (11, 12), (12, 10), (2, 10)]
+    edges = spark.createDataFrame([(a + 100 * k, b + 100 * k, 1.0) for k in range(12) for a, b in ring], "src long, dst long, weight double")
+    found = graph.louvain(edges)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 72 and found.select("community").distinct().count() == 12
+    dealt = []
+    kept = graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: dealt.append(kept(df)) or dealt[-1])
+    assert rows(graph.louvain(edges)) == rows(found)
+    assert dealt[-1].rdd.getNumPartitions() == 14  # 84 edges
