@@ -1,12 +1,14 @@
 """Steps whose cost must follow the input: the same rows as the plain way, by plans that hold no more than they need."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright import session
 from tracewright.operators import changes, graph, history, relations, retrieval
+from tracewright.plans import graphs
 
 
 def rows(df):
@@ -65,6 +67,37 @@ def test_strong_components_meet_in_tasks_of_bounded_edges(spark, monkeypatch, mo
     assert taken
 
 
+def test_trimmed_edges_are_not_looked_at_for_what_hangs_together(spark, monkeypatch):
+    rings = [(k * 10 + a, k * 10 + b) for k in range(6) for a, b in ((0, 1), (1, 2), (2, 0))]
+    ends = [(1000 + 50 * k + i, k * 10 + i % 3) for k in range(6) for i in range(40)] + [(k * 10, 2000 + i) for k in range(6) for i in range(9)]
+    edges = spark.createDataFrame(rings + ends, "src long, dst long")
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 10)
+    asked, found = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda e: asked.append(e.count()) or found(e))
+    strong = graph.strong_components(edges)
+    assert rows(strong) == sorted(((k * 10 + i, k * 10) for k in range(6) for i in range(3)), key=repr)
+    assert asked == [18]
+    assert rows(graph.cycle_edges(edges, strong)) == sorted(rings, key=repr)
+
+
+def test_strong_components_are_walked_once_however_often_read(spark):
+    found = graph.strong_components(spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long"))
+    assert "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found) == [(1, 1), (2, 1)]
+
+
+def test_part_edges_of_many_lines_are_those_of_few(spark, monkeypatch):
+    rnd = random.Random(3)
+    made = [(rnd.randrange(60), rnd.choice((1, 1, 2, 3, 4, None)), rnd.choice((*range(1, 9), None))) for _ in range(400)] + [(None, 1, 1), (None, 2, 2)]
+    tables = SimpleNamespace(lineitem=spark.createDataFrame(made, "l_orderkey long, l_linenumber int, l_partkey long"))
+    want, made_tasks, dealt = rows(graphs.part_edges(tables)), [], session.dealt
+    monkeypatch.setattr(session, "ROWS_A_TASK", 50)
+    monkeypatch.setattr(graphs, "ROWS_A_TASK", 50)
+    monkeypatch.setattr(graphs, "dealt", lambda df, n, *keys: made_tasks.append((n, keys)) or dealt(df, n, *keys))
+    assert rows(graphs.part_edges(tables)) == want != []
+    assert made_tasks == [(402, ("l_orderkey", "l_linenumber"))] * 2 + [(402, ("src",))]
+
+
 def test_louvain_deals_components_over_tasks_and_moves_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "EDGES_A_MOVE", 6)
     ring = [(0, 1), (1, 2), (2, 0), (10, 11), (11, 12), (12, 10), (2, 10)]

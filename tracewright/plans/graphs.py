@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import graph as G
-from tracewright.session import checkpointed
+from tracewright.session import ROWS_A_TASK, checkpointed, dealt
 
 from .registry import Tables, query
 
@@ -15,9 +15,16 @@ edges AS (SELECT src, dst FROM nexts QUALIFY row_number() OVER (PARTITION BY src
 
 
 def part_edges(t: Tables) -> DataFrame:
-    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    lines, at = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"]
     nxt = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
-    pairs = lines.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst").filter("src != dst")
+    rows = lines.count()
+    if rows > ROWS_A_TASK:
+        # tasks of bounded rows need no sort to be joined
+        lines, nxt = dealt(lines, rows, *at).hint("shuffle_hash"), dealt(nxt, rows, *at)
+    pairs = lines.join(nxt, at).select(F.col("l_partkey").alias("src"), "dst").filter("src != dst")
+    if rows > ROWS_A_TASK:
+        # pairs of a part meet once, to be counted and to be ranked
+        pairs = dealt(pairs, rows, "src")
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), F.expr("dst * 7919 % 10007"), "dst"))
     return checkpointed(pairs.groupBy("src", "dst").agg(F.count("*").alias("n")).withColumn("p", place).filter("p <= 2").select("src", "dst"))
 
